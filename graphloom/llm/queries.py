@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, decontaminate, langid, simhash, toxicity
+from graphloom.llm import bpe, decontaminate, langid, minhash, sharding, simhash, toxicity
 from graphloom.llm.common import crc_bucket, table
 
 
@@ -22,6 +22,14 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "__lang.lang_pred", "__lang.score", "__lang.rejected")
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.placed(table(spark, sf_dir, "documents"))
+
+
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -75,6 +83,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op5_language": op5_language,
+        "op6_sharding": op6_sharding,
+        "op7_minhash": op7_minhash,
         "op8_toxicity": op8_toxicity,
         "op9_bpe": op9_bpe,
         "op10_decontaminate": op10_decontaminate,
