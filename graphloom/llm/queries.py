@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, decontaminate, langid, minhash, sharding, simhash, toxicity
+from graphloom.llm import bpe, decontaminate, html_extract, langid, minhash, quality, sharding, simhash, toxicity, url_filter
 from graphloom.llm.common import crc_bucket, table
 
 
@@ -15,6 +15,21 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites are sources, and their sections the languages within them."""
+    docs = table(spark, sf_dir, "documents")
+    classifier = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, classifier, F.col("source"), F.concat_ws("/", F.col("source"), F.col("lang")))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs.select("doc_id", "text"), langid.fit(docs))
@@ -79,9 +94,31 @@ FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r)
 """
 
 
+OP3_SQL = r"""
+WITH cut AS (
+  SELECT page_id, row_number() OVER () AS r,
+         CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+parts AS (
+  SELECT page_id, r, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM cut),
+rules(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+                                ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+fits AS (
+  SELECT r, h || p AS rule, verdict, row_number() OVER (PARTITION BY r ORDER BY length(h || p) DESC) AS n
+  FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM parts LEFT JOIN (SELECT * FROM fits WHERE n = 1) USING (r)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op2_html": op2_html,
+        "op3_url": op3_url,
+        "op4_quality": op4_quality,
         "op5_language": op5_language,
         "op6_sharding": op6_sharding,
         "op7_minhash": op7_minhash,
@@ -92,4 +129,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontaminate": OP10_SQL}
+    return {"op3_url": OP3_SQL, "op10_decontaminate": OP10_SQL}
