@@ -1 +1 @@
-
+"""Column and table functions that operators share."""

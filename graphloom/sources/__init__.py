@@ -1 +1 @@
-
+"""Edge and vertex files in, result files out."""
