@@ -67,7 +67,7 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _convolve(g: Graph) -> DataFrame:
-    features = g.vertices().select("vid", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.col("vid") % (i + 7)).cast("double")).alias("features"))
+    features = g.vertices().select("vid", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.col("vid") % (i + 7)).cast("double") * 0.3).alias("features"))
     return convolve.convolve(g, features, CONVOLVE_ROUNDS).select("vid", F.posexplode("features").alias("pos", "f")).select("vid", "pos", F.round("f", 6).alias("f"))
 
 

@@ -224,7 +224,7 @@ def spread(friends: bool) -> str:
 
 
 def convolve(name: str, rounds: int) -> str:
-    parts = [_arcs(name), "f0 AS (SELECT vid, pos, CAST((vid % (pos + 7)) AS DOUBLE) AS f FROM verts, range(0, 4) t(pos))", "deg AS (SELECT dst AS vid, count(*) AS n FROM arcs GROUP BY dst)"]
+    parts = [_arcs(name), "f0 AS (SELECT vid, pos, CAST((vid % (pos + 7)) AS DOUBLE) * CAST(0.3 AS DOUBLE) AS f FROM verts, range(0, 4) t(pos))", "deg AS (SELECT dst AS vid, count(*) AS n FROM arcs GROUP BY dst)"]
     for n in range(rounds):
         parts.append(f"f{n + 1} AS MATERIALIZED (SELECT o.vid, o.pos, (o.f + s) / n AS f FROM f{n} o JOIN deg USING (vid) JOIN (SELECT dst AS vid, pos, sum(f) AS s FROM arcs JOIN f{n} ON src = vid GROUP BY dst, pos) USING (vid, pos))")
     return f"WITH {', '.join(parts)} SELECT vid, CAST(pos AS INTEGER) AS pos, round(f, 6) AS f FROM f{rounds}"

@@ -1,0 +1,92 @@
+"""Plain re-implementations that the operators are held against."""
+
+from collections import Counter, defaultdict, deque
+
+
+def arcs_of(edges, directed):
+    return [e[:2] for e in edges] + ([] if directed else [(b, a) for a, b, *_ in edges])
+
+
+def distances(arcs, root):
+    out = defaultdict(list)
+    for a, b in arcs:
+        out[a].append(b)
+    seen, queue = {root: 0}, deque([root])
+    while queue:
+        v = queue.popleft()
+        for w in out[v]:
+            if w not in seen:
+                seen[w] = seen[v] + 1
+                queue.append(w)
+    return seen
+
+
+def pagerank(arcs, rounds, d=0.85):
+    verts = {v for e in arcs for v in e}
+    degree = Counter(a for a, _ in arcs)
+    r = dict.fromkeys(verts, 1.0)
+    for _ in range(rounds):
+        new = dict.fromkeys(verts, 1 - d)
+        for a, b in arcs:
+            new[b] += d * r[a] / degree[a]
+        r = new
+    return r
+
+
+def coreness(arcs):
+    near = defaultdict(list)
+    for a, b in arcs:
+        near[b].append(a)
+    core = {v: len(near[v]) for v in {v for e in arcs for v in e}}
+    while True:
+        new = {}
+        for v in core:
+            seen = sorted((core[u] for u in near[v]), reverse=True)
+            new[v] = min(core[v], max((min(i, x) for i, x in enumerate(seen, 1)), default=0))
+        if new == core:
+            return core
+        core = new
+
+
+def betweenness(arcs, roots):
+    out, total = defaultdict(list), Counter()
+    for a, b in arcs:
+        out[a].append(b)
+    for root in roots:
+        dist = distances(arcs, root)
+        order = sorted(dist, key=dist.get)
+        sigma, delta = Counter({root: 1}), Counter()
+        for v in order:
+            for w in out[v]:
+                if dist[w] == dist[v] + 1:
+                    sigma[w] += sigma[v]
+        for v in reversed(order):
+            for w in out[v]:
+                if dist[w] == dist[v] + 1:
+                    delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
+        for v in order:
+            if v != root:
+                total[v] += delta[v]
+    return total
+
+
+def label_rounds(arcs, rounds):
+    verts = {v for e in arcs for v in e}
+    label = {v: v for v in verts}
+    for _ in range(rounds):
+        votes = defaultdict(Counter)
+        for a, b in arcs:
+            votes[b][label[a]] += 1
+        label = {v: min(votes[v], key=lambda x: (-votes[v][x], x)) if votes[v] else label[v] for v in verts}
+    return label
+
+
+def modularity(edges, community, gamma=1.0):
+    arcs = arcs_of(edges, False)
+    m2 = len(arcs)
+    k = Counter(a for a, _ in arcs)
+    inside = sum(community[a] == community[b] for a, b in arcs) / m2
+    tot = Counter()
+    for v, d in k.items():
+        tot[community[v]] += d
+    return inside - gamma * sum((t / m2) ** 2 for t in tot.values())
