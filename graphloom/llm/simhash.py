@@ -157,8 +157,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     if marked.where("doc_id is null").isEmpty():
         return stay
     lost = docs.where("doc_id is null").withColumn("__fp", _fingerprints(F.col("text")))
-    bare = lost.join(named.where("component_id is null").withColumnRenamed("fp", "__fp"), "__fp", "left_semi")
+    bare = lost.join(named.where("component_id is null").select(F.col("fp").alias("__fp")), "__fp", "left_semi")
     roots = star_components(links(bare.select(F.col("__fp").alias("fp")).distinct(), scratch), scratch)
-    bare = bare.join(roots.withColumnRenamed("id", "__fp"), "__fp", "left")
-    one = bare.withColumn("__root", F.coalesce("component", "__fp")).dropDuplicates(["__root"])
+    bare = bare.join(roots.select(F.col("id").alias("__fp"), F.col("component").alias("__root")), "__fp", "left")
+    one = bare.withColumn("__root", F.coalesce("__root", "__fp")).dropDuplicates(["__root"])
     return stay.unionByName(one.select(*docs.columns))

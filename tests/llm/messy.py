@@ -1,0 +1,33 @@
+"""Tables with nulls in every column, empty and long texts, ties, repeats and clashing extra columns."""
+
+NAMES = ("key", "fp", "score", "n", "part", "component", "component_id", "rank", "h", "kid", "host", "path", "slot", "label", "u", "v", "spans", "found")
+LONG = "lorem ipsum dolor sit amet consectetur " * 3000
+
+ROWS = [
+    (1, "the quick brown fox jumps over the lazy dog and runs away from here", "en", "a", 68),
+    (2, "The quick brown fox jumps over the lazy dog and runs away from here", "en", "a", 68),
+    (2, "The quick brown fox jumps over the lazy dog and runs away from here", "en", "a", 68),
+    (3, None, None, None, None),
+    (4, "", "en", "b", 0),
+    (5, " \t\n ", "de", "b", 4),
+    (6, LONG, "en", "b", len(LONG)),
+    (None, "ein kleiner text ohne nummer aber mit wörtern und zahlen 123", "de", None, 60),
+    (None, None, None, None, None),
+    (7, "wort", "de", "c", 4),
+    (8, "<|endoftext|> 漢字 😀 !!", None, "c", 20),
+]
+
+
+def documents(spark, rows=ROWS):
+    extra = ", ".join(f"{n} string" for n in NAMES)
+    return spark.createDataFrame([(*r, *(["x"] * len(NAMES))) for r in rows], f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+
+
+def labels(spark, empty=False):
+    rows = [] if empty else [(1, 1, 0), (2, 1, 0), (3, None, None), (4, 0, 1), (6, 1, 0), (7, 0, 1), (None, 1, 1), (1, 1, 0)]
+    return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+
+
+def pages(spark, rows):
+    extra = ", ".join(f"{n} string" for n in NAMES if n not in ("host", "path"))
+    return spark.createDataFrame([(*r, *(["x"] * (len(NAMES) - 2))) for r in rows], f"page_id long, url string, html string, host string, path string, {extra}".replace("host string, path string, ", ""))
