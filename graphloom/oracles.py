@@ -127,7 +127,7 @@ def hop_attenuation(name: str, rounds: int, attenuation: float, tolerance: float
     for n in range(rounds):
         parts.append(
             f"s{n} AS (SELECT dst AS vid, label, sum(score) AS w, max(score) AS best FROM arcs JOIN l{n} ON src = vid WHERE score >= 0 GROUP BY dst, label), "
-            f"b{n} AS (SELECT vid, label, best, row_number() OVER (PARTITION BY vid ORDER BY floor(w / {tolerance}) DESC, label) AS k FROM s{n}), "
+            f"b{n} AS (SELECT vid, label, best, row_number() OVER (PARTITION BY vid ORDER BY round(w / {tolerance}) DESC, label) AS k FROM s{n}), "
             f"l{n + 1} AS MATERIALIZED (SELECT o.vid, coalesce(b.label, o.label) AS label, "
             f"CASE WHEN b.label IS NULL THEN 0.0 ELSE b.best - CASE WHEN b.label <> o.label THEN {attenuation} ELSE 0 END END AS score "
             f"FROM l{n} o LEFT JOIN (SELECT * FROM b{n} WHERE k = 1) b USING (vid))"
