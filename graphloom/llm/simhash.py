@@ -151,7 +151,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
         .groupBy("doc_id")
         .agg(F.count("*").alias("n"))
     )
-    stay = docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    # The ids to keep grow with the corpus: a shuffled join at every size, never a broadcast.
+    stay = docs.join(ids.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
     if not ids.where("n > 1").isEmpty():
         stay = stay.dropDuplicates(["doc_id"])
     if marked.where("doc_id is null").isEmpty():
