@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from graphloom.llm.common import small_batches
 
 CHUNK_BITS = 8
-KEEP_CHARS = 6_000_000
+KEEP_CHARS = 3_000_000
 
 #: The splitting pattern of byte-level vocabularies (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

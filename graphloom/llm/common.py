@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch: a batch of the longest texts still fits a Python worker.
-BATCH_ROWS = 1000
+BATCH_ROWS = 256
 
 #: A-Z to a-z; the six white-space bytes 09-0D and 20 are what bytes.split() cuts at.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")

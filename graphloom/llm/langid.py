@@ -33,8 +33,8 @@ from graphloom.llm.common import crc_bucket, small_batches
 from graphloom.llm.sampling import bounded_sample
 
 ORDER = 4
-SAMPLE_PER_LANGUAGE = 800
-REJECT_NATS = 0.5
+SAMPLE_PER_LANGUAGE = 300
+REJECT_NATS = 1.0
 REJECT_SIGMAS = 8.0
 EVIDENCE_CHARS = 64
 UNKNOWN = "und"
@@ -43,7 +43,7 @@ FOLDS, HELD_OUT = 4, 2
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BITS = 12
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_BLOCK_CHARS = 1 << 20
+_BLOCK_CHARS = 1 << 18
 
 
 def letters_of(text: str | None) -> str:
@@ -64,14 +64,17 @@ class Models:
 
     def __init__(self, samples: dict[str, list[str]], order: int = ORDER):
         self.languages, self.order = sorted(samples), order
+        self.keys, self.logp, self.contexts, self.backoff = {}, {}, {}, {}
+        self.mean, self.spread = np.zeros(len(samples)), np.ones(len(samples))
+        if not samples:
+            return
         seen = sorted({c for texts in samples.values() for t in texts for c in set(t)} | {" "})[: (1 << _BITS) - 2]
         self.char = np.zeros(0x110000, dtype=np.uint16)
         self.char[[ord(c) for c in seen]] = np.arange(1, len(seen) + 1)
         size = len(seen) + 1
         counts = [self._counts(samples[x]) for x in self.languages]
         wide = len(self.languages)
-        self.keys, self.logp, self.contexts, self.backoff = {}, {}, {}, {}
-        prob = None
+        prob = below = None
         for n in range(1, order + 1):
             grams = np.unique(np.concatenate([c[n][0] for c in counts])) if n > 1 else np.arange(size, dtype=np.uint64)
             table = np.zeros((len(grams), wide))
@@ -91,14 +94,12 @@ class Models:
                 np.add.at(kept, place, left)
                 weight = np.where(total > 0, 1 - kept / np.maximum(total, 1), 1.0)
                 lower = grams & np.uint64((1 << _BITS * (n - 1)) - 1)
-                prob = np.where(total[place] > 0, left / np.maximum(total[place], 1), 0) + weight[place] * prob[np.searchsorted(below, lower)]  # noqa: F821
+                prob = np.where(total[place] > 0, left / np.maximum(total[place], 1), 0) + weight[place] * prob[np.searchsorted(below, lower)]
                 by = np.argsort(heads * _MIX)
                 self.contexts[n], self.backoff[n] = (heads * _MIX)[by], np.log(weight[by]).astype(np.float32)
             by = np.argsort(grams * _MIX)
             self.keys[n], self.logp[n] = (grams * _MIX)[by], np.log(prob[by]).astype(np.float32)
-            below = grams  # noqa: F841
-        self.mean = np.zeros(wide)
-        self.spread = np.ones(wide)
+            below = grams
 
     def _codes(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
         """Character numbers of the padded texts one after another, and where each text's own start and end."""

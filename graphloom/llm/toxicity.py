@@ -19,8 +19,9 @@ not learned from; repeated rows are repeated; other columns are carried or ignor
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
@@ -31,14 +32,14 @@ from pyspark.sql import types as T
 from graphloom.llm.common import crc_bucket, small_batches
 from graphloom.llm.sampling import bounded_sample
 
-SAMPLE_TOXIC = 1200
-SAMPLE_CLEAN = 1200
+SAMPLE_TOXIC = 450
+SAMPLE_CLEAN = 600
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.5
 MIN_COVER = 2
 CLEAN_COST = 3.0
-ROUNDS = 40
-KEPT_WORDS = 200_000
+ROUNDS = 30
+KEPT_WORDS = 60_000
 
 _WORD = re.compile(r"\w+")
 _HUGE = 20.0
@@ -161,13 +162,24 @@ class Chain:
         return pd.DataFrame({"score": self.scores(expected, np.diff(bounds)), "spans": spans})
 
 
-def lexicon(toxic: list[list[str]], clean: list[list[str]]) -> set[str]:
+def frequent(docs: Iterable[list[str]], least: int = MIN_COVER) -> Callable[[str], list[str]]:
+    """Features of a word that about ``least`` documents or more have; counted in hashed cells, so some rarer ones pass."""
+    cells = np.zeros(1 << 22, dtype=np.int32)
+    cell = lambda f: zlib.crc32(f.encode("utf-8", "surrogatepass")) & (len(cells) - 1)
+    for t in docs:
+        cells[list({cell(f) for w in set(t) for f in features(w)})] += 1
+    return lambda word: [f for f in features(word) if cells[cell(f)] >= least]
+
+
+def lexicon(toxic: list[list[str]], clean: list[list[str]], known: Callable[[str], list[str]] = features) -> set[str]:
     """Features that cover the toxic documents; each clean document with one costs CLEAN_COST of its share."""
-    absent = Counter(f for t in clean for f in {f for w in set(t) for f in features(w)})
     held: dict[str, set[int]] = defaultdict(set)
     for n, t in enumerate(toxic):
-        for f in {f for w in set(t) for f in features(w)}:
+        for f in {f for w in set(t) for f in known(w)}:
             held[f].add(n)
+    total = max(len(held), sum(map(len, toxic)))
+    held = {f: d for f, d in held.items() if len(d) >= MIN_COVER}
+    absent = Counter(f for t in clean for f in {f for w in set(t) for f in known(w) if f in held})
     cost = CLEAN_COST * len(toxic) / max(1, len(clean))
     good = {f: d for f, d in held.items() if len(d) - cost * absent[f] >= MIN_COVER}
     chosen: set[str] = set()
@@ -182,26 +194,31 @@ def lexicon(toxic: list[list[str]], clean: list[list[str]]) -> set[str]:
         open_docs -= good.pop(best)
     # The cover leaves out words that only repeat what others cover: add all that no chance explains.
     share = len(toxic) / max(1, len(toxic) + len(clean))
-    least = max(MIN_COVER + 1, np.log(20 * max(1, len(held))) / -np.log(max(1e-6, min(share, 0.95))))
+    least = max(MIN_COVER + 1, np.log(20 * max(1, total)) / -np.log(max(1e-6, min(share, 0.95))))
     return chosen | {f for f, d in held.items() if len(d) >= least and absent[f] <= 0.01 * len(d) / max(share, 1e-6)}
 
 
 def train(toxic: list[str], clean: list[str]) -> Chain:
     """Chain fitted by full-batch adaptive gradients with exact expectations."""
     chain = Chain()
-    bad, good = [words_of(t) for t in toxic], [words_of(t) for t in clean]
-    marks = lexicon(bad, good)
+    same: dict[str, str] = {}
+    bad, good = ([[same.setdefault(w, w) for w in words_of(t)] for t in texts] for texts in (toxic, clean))
+    known = frequent([*bad, *good])
+    del same
+    marks = lexicon(bad, good, known)
     if not marks:
         return chain
     texts = [t for t in [*bad, *good] if t]
-    flags = [n < sum(1 for t in bad if t) for n in range(len(texts))]
+    toxic_texts = sum(1 for t in bad if t)
+    flags = [n < toxic_texts for n in range(len(texts))]
     number: dict[str, int] = {}
     tokens = np.fromiter((number.setdefault(w, len(number)) for t in texts for w in t), dtype=np.int64)
     bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
     marked = np.fromiter((any(f in marks for f in features(w)) for w in number), dtype=bool, count=len(number))
     truth = (marked[tokens] & np.repeat(flags, np.diff(bounds))).astype(np.float64)
     names: dict[str, int] = {}
-    pairs = np.array([(k, names.setdefault(f, len(names))) for k, w in enumerate(number) for f in features(w)])
+    by = [np.array([names.setdefault(f, len(names)) for f in known(w)], dtype=np.int32) for w in number]
+    of_word, of_name = np.repeat(np.arange(len(by), dtype=np.int32), [len(x) for x in by]), np.concatenate(by)
     starts = bounds[:-1]
     inner = np.ones(len(tokens), dtype=bool)
     inner[starts] = False
@@ -212,16 +229,16 @@ def train(toxic: list[str], clean: list[str]) -> Chain:
     for t in range(1, ROUNDS + 1):
         w, chain.bias, chain.start = theta[:-6], theta[-6], theta[-5]
         chain.move = theta[-4:].reshape(2, 2)
-        e = np.bincount(pairs[:, 0], weights=w[pairs[:, 1]], minlength=len(number))[tokens] + chain.bias
+        e = np.bincount(of_word, weights=w[of_name], minlength=len(number))[tokens] + chain.bias
         forward, backward, x = chain.passes(e, starts)
         p = forward * backward / (1 + forward * backward)
         m = np.exp(chain.move)
         f, bx = forward[before], (backward * x)[here]
-        joint = np.stack([np.full(len(f), m[0, 0]), m[0, 1] * bx, f * m[1, 0], f * m[1, 1] * bx])
-        step = (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2)
+        whole = m[0, 0] + m[0, 1] * bx + f * m[1, 0] + f * m[1, 1] * bx
+        step = np.array([[(m[0, 0] / whole).sum(), (m[0, 1] * bx / whole).sum()], [(f * m[1, 0] / whole).sum(), (f * m[1, 1] * bx / whole).sum()]])
         by_word = np.bincount(tokens, weights=truth - p, minlength=len(number))
         grad = np.concatenate([
-            np.bincount(pairs[:, 1], weights=by_word[pairs[:, 0]], minlength=len(names)),
+            np.bincount(of_name, weights=by_word[of_word], minlength=len(names)),
             [by_word.sum(), (truth - p)[starts].sum()],
             (step_truth - step).ravel(),
         ])
