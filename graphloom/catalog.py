@@ -98,8 +98,8 @@ def queries() -> dict[str, Query]:
         "g6_weighted_degrees": _on("g_ev", Graph.weighted_degrees, directed=True),
         "g7_degree_distribution": _on("g_cs", Graph.degree_distribution),
         "g7_density": _on("g_cs", lambda g: _rounded(g.density(), "density", 9)),
-        "g9_symmetrise": _on("g_thin", lambda g: g.arcs().select("src", "dst")),
-        "g10_reverse": _on("g_thin", lambda g: g.reversed().edges.select("src", "dst")),
+        "g9_symmetrise": _on("g_ps", lambda g: g.arcs().select("src", "dst")),
+        "g10_reverse": _on("g_ps", lambda g: g.reversed().edges.select("src", "dst")),
         "g11_vertex_subsets": _on("g_pp", _subsets),
         "g12_map_reduce": _on("g_pp", lambda g: sets.total(g.vertices(), F.col("vid") % 10, g.edges.select(F.col("src").alias("vid")))),
         "g14_state_upsert": _on("g_pp", _state),
@@ -108,28 +108,28 @@ def queries() -> dict[str, Query]:
         "a1_bfs": _on("g_tree", traversal.bfs, directed=True),
         "a2_pagerank": _on("g_ps", lambda g: _rounded(pagerank.pagerank(g, RANK_ROUNDS, eps=0), "rank")),
         "a3_weighted_pagerank": _on("g_ev", lambda g: _rounded(pagerank.pagerank(g, RANK_ROUNDS, eps=0, weighted=True), "rank"), directed=True),
-        "a4_components": _on("g_thin", components.labels),
-        "a4_component_sizes": _on("g_thin", lambda g: components.sizes(g, components.labels(g))),
-        "a4_component_edges": _on("g_thin", lambda g: components.labelled_edges(g, components.labels(g))),
-        "a4_major_component": _on("g_thin", lambda g: components.sub_graph(g, components.labels(g))),
+        "a4_components": _on("g_ps", components.labels),
+        "a4_component_sizes": _on("g_ps", lambda g: components.sizes(g, components.labels(g))),
+        "a4_component_edges": _on("g_ps", lambda g: components.labelled_edges(g, components.labels(g))),
+        "a4_major_component": _on("g_ps", lambda g: components.sub_graph(g, components.labels(g))),
         "a5_encode": _on("g_cs", lambda g: encode(g)[0].edges.select("src", "dst")),
         "a6_label_propagation": _on("g_pp", lambda g: propagation.label_propagation(g, LABEL_ROUNDS)),
         "a7_hop_attenuation": _on("g_pp", lambda g: _rounded(propagation.hop_attenuation(g, LABEL_ROUNDS, tolerance=1e-5), "score")),
         "a8_coreness": _on("g_pp", kcore.coreness),
         "a8_shells": _on("g_pp", lambda g: kcore.shells(g, kcore.coreness(g)).groupBy("coreness").agg(F.count("*").alias("arcs"))),
         "a8_core_subgraph": _on("g_pp", lambda g: kcore.core_subgraph(g, kcore.coreness(g), 8).select("src", "dst")),
-        "a9_closeness": _on("g_thin", lambda g: _rounded(centrality.closeness(g, _low_roots(g)), "closeness", 9)),
-        "a10_hop_distance": _on("g_thin", lambda g: traversal.hops(g, _low_roots(g), 6).select("root", "vid", "dist")),
-        "a11_sampled_closeness": _on("g_thin", lambda g: _rounded(centrality.sampled_closeness(g, roots=_major_roots(g)), "closeness", 9)),
-        "a12_betweenness": _on("g_thin", lambda g: _rounded(centrality.sampled_betweenness(g, roots=_major_roots(g)), "betweenness")),
-        "a13_average_distance": _on("g_thin", lambda g: _rounded(neighbourhood.exact_average_distance(g), "average_distance", 9)),
-        "a13_average_distance_sketch": _on("g_thin", _anf),
-        "a14_n_step_degrees": _on("g_thin", lambda g: neighbourhood.exact_n_step_degrees(g, N_STEPS)),
-        "a14_n_step_degrees_sketch": _on("g_thin", lambda g: neighbourhood.n_step_degrees(g, N_STEPS, bits=10)),
+        "a9_closeness": _on("g_ps", lambda g: _rounded(centrality.closeness(g, _low_roots(g)), "closeness", 9)),
+        "a10_hop_distance": _on("g_ps", lambda g: traversal.hops(g, _low_roots(g), 6).select("root", "vid", "dist")),
+        "a11_sampled_closeness": _on("g_ps", lambda g: _rounded(centrality.sampled_closeness(g, roots=_major_roots(g)), "closeness", 9)),
+        "a12_betweenness": _on("g_ps", lambda g: _rounded(centrality.sampled_betweenness(g, roots=_major_roots(g)), "betweenness")),
+        "a13_average_distance": _on("g_ps", lambda g: _rounded(neighbourhood.exact_average_distance(g), "average_distance", 9)),
+        "a13_average_distance_sketch": _on("g_ps", _anf),
+        "a14_n_step_degrees": _on("g_ps", lambda g: neighbourhood.exact_n_step_degrees(g, N_STEPS)),
+        "a14_n_step_degrees_sketch": _on("g_ps", lambda g: neighbourhood.n_step_degrees(g, N_STEPS, bits=10)),
         "a15_tree_statistics": _on("g_tree", traversal.tree_statistics, directed=True),
         "a16_louvain": _on("g_pp", communities.louvain),
         "a17_density_louvain": _on("g_pp", communities.density_louvain),
-        "a18_infomap": _on("g_thin", communities.infomap),
+        "a18_infomap": _on("g_ps", communities.infomap),
         "o10_mutual": _on("g_pp", mutual.mutual_neighbours),
         "o10_mutual_lists": _on("g_pp", lambda g: mutual.mutual_neighbours(g, lists=True).withColumn("common", F.array_join("common", ":"))),
         "o10_mutual_items": _items,
@@ -150,8 +150,8 @@ def oracle_sql() -> dict[str, str]:
         "g6_weighted_degrees": oracles.strengths("g_ev"),
         "g7_degree_distribution": oracles.distribution("g_cs"),
         "g7_density": oracles.density("g_cs"),
-        "g9_symmetrise": f"WITH {oracles._arcs('g_thin')} SELECT src, dst FROM arcs",
-        "g10_reverse": f"WITH {oracles._arcs('g_thin')} SELECT dst AS src, src AS dst FROM edges",
+        "g9_symmetrise": f"WITH {oracles._arcs('g_ps')} SELECT src, dst FROM arcs",
+        "g10_reverse": f"WITH {oracles._arcs('g_ps')} SELECT dst AS src, src AS dst FROM edges",
         "g11_vertex_subsets": oracles.subsets("g_pp"),
         "g12_map_reduce": oracles.map_reduce("g_pp"),
         "g14_state_upsert": oracles.state("g_pp"),
@@ -159,22 +159,22 @@ def oracle_sql() -> dict[str, str]:
         "a1_bfs": oracles.bfs("g_tree", 0),
         "a2_pagerank": oracles.pagerank("g_ps", RANK_ROUNDS),
         "a3_weighted_pagerank": oracles.pagerank("g_ev", RANK_ROUNDS, weighted=True),
-        "a4_components": oracles.components("g_thin"),
-        "a4_component_sizes": oracles.component_sizes("g_thin"),
-        "a4_component_edges": oracles.component_edges("g_thin", False),
-        "a4_major_component": oracles.component_edges("g_thin", True),
+        "a4_components": oracles.components("g_ps"),
+        "a4_component_sizes": oracles.component_sizes("g_ps"),
+        "a4_component_edges": oracles.component_edges("g_ps", False),
+        "a4_major_component": oracles.component_edges("g_ps", True),
         "a5_encode": oracles.encoded("g_cs"),
         "a6_label_propagation": oracles.label_propagation("g_pp", LABEL_ROUNDS),
         "a7_hop_attenuation": oracles.hop_attenuation("g_pp", LABEL_ROUNDS, 0.1, 1e-5),
         "a8_coreness": oracles.coreness("g_pp", CORE_ROUNDS),
         "a8_shells": oracles.shell_sizes("g_pp", CORE_ROUNDS),
         "a8_core_subgraph": oracles.core_edges("g_pp", CORE_ROUNDS, 8),
-        "a9_closeness": oracles.closeness("g_thin"),
-        "a10_hop_distance": oracles.hop_pairs("g_thin", 6),
-        "a11_sampled_closeness": oracles.sampled_closeness("g_thin"),
-        "a12_betweenness": oracles.sampled_betweenness("g_thin", DEPTH),
-        "a13_average_distance": oracles.average_distance("g_thin"),
-        "a14_n_step_degrees": oracles.n_step_degrees("g_thin", N_STEPS),
+        "a9_closeness": oracles.closeness("g_ps"),
+        "a10_hop_distance": oracles.hop_pairs("g_ps", 6),
+        "a11_sampled_closeness": oracles.sampled_closeness("g_ps"),
+        "a12_betweenness": oracles.sampled_betweenness("g_ps", DEPTH),
+        "a13_average_distance": oracles.average_distance("g_ps"),
+        "a14_n_step_degrees": oracles.n_step_degrees("g_ps", N_STEPS),
         "a15_tree_statistics": oracles.tree("g_tree", 0),
         "o10_mutual": oracles.mutual("g_pp", False),
         "o10_mutual_lists": oracles.mutual("g_pp", True),

@@ -1,0 +1,29 @@
+"""Registered graph queries see every row of their table."""
+
+import pytest
+
+from graphloom import catalog
+
+
+@pytest.fixture(scope="module")
+def lines(spark, tmp_path_factory):
+    """Two orders of small quantities and low line numbers."""
+    d = tmp_path_factory.mktemp("lines")
+    rows = [(1, 1, 10, 1, 1.0), (1, 2, 20, 2, 2.0), (2, 1, 30, 1, 50.0), (2, 7, 40, 2, 49.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{d}/lineitem.parquet")
+    return str(d)
+
+
+PART_SUPPLIER = ["g9_symmetrise", "g10_reverse", "a4_components", "a4_component_sizes", "a4_component_edges", "a4_major_component", "a9_closeness", "a10_hop_distance", "a11_sampled_closeness", "a12_betweenness", "a14_n_step_degrees", "a14_n_step_degrees_sketch", "a18_infomap"]
+
+
+@pytest.mark.parametrize("name", PART_SUPPLIER)
+def test_every_part_supplier_edge(spark, lines, name):
+    """Two components, {10, 30} with supplier 1 and {20, 40} with supplier 2: four edges, six vertices."""
+    want = {"g9_symmetrise": 8, "g10_reverse": 4, "a4_component_sizes": 2, "a4_component_edges": 4, "a4_major_component": 2, "a9_closeness": 5, "a10_hop_distance": 15}
+    assert catalog.queries()[name](spark, lines).count() == want.get(name, 6)
+
+
+def test_average_distance_of_every_pair(spark, lines):
+    """In each path of three vertices four ordered pairs at distance one and two at two."""
+    assert catalog.queries()["a13_average_distance"](spark, lines).collect()[0][0] == pytest.approx(8 / 6)
