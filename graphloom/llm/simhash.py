@@ -22,6 +22,7 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -117,10 +118,10 @@ def links(fps: DataFrame, scratch: Scratch, hot_list: int = HOT_LIST) -> DataFra
     return out
 
 
-def components(marked: DataFrame, scratch: Scratch) -> DataFrame:
+def components(marked: DataFrame, scratch: Scratch, linked: Callable[[DataFrame, Scratch], DataFrame] = links) -> DataFrame:
     """(doc_id, fp) rows -> (fp, component_id) for each distinct fingerprint."""
     fps = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    found = links(fps, scratch)
+    found = linked(fps, scratch)
     groups = scratch.save(star_components(found, scratch))
     named = fps.join(groups.withColumnRenamed("id", "fp"), "fp")
     least = scratch.save(named.groupBy("component").agg(F.min("first_id").alias("component_id")))
@@ -137,14 +138,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(
+    docs: DataFrame,
+    marked: DataFrame | None = None,
+    fingerprints: Callable[[Column], Column] = _fingerprints,
+    linked: Callable[[DataFrame, Scratch], DataFrame] = links,
+) -> DataFrame:
     """The documents, with all their columns, of which each group keeps the one of least id.
 
     Of rows that repeat an id one stays; a group of rows without ids keeps one of them.
+    Other fingerprints come with their own (doc_id, fp) rows and links.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    marked = scratch.save(with_fingerprint(docs))
-    named = components(marked, scratch)
+    if marked is None:
+        marked = scratch.save(with_fingerprint(docs))
+    named = components(marked, scratch, linked)
     ids = scratch.save(
         marked.where("doc_id is not null")
         .join(named.select("fp", F.col("component_id").alias("doc_id")), ["fp", "doc_id"], "left_semi")
@@ -157,9 +165,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
         stay = stay.dropDuplicates(["doc_id"])
     if marked.where("doc_id is null").isEmpty():
         return stay
-    lost = docs.where("doc_id is null").withColumn("__fp", _fingerprints(F.col("text")))
+    lost = docs.where("doc_id is null").withColumn("__fp", fingerprints(F.col("text")))
     bare = lost.join(named.where("component_id is null").select(F.col("fp").alias("__fp")), "__fp", "left_semi")
-    roots = star_components(links(bare.select(F.col("__fp").alias("fp")).distinct(), scratch), scratch)
+    roots = star_components(linked(bare.select(F.col("__fp").alias("fp")).distinct(), scratch), scratch)
     bare = bare.join(roots.select(F.col("id").alias("__fp"), F.col("component").alias("__root")), "__fp", "left")
     one = bare.withColumn("__root", F.coalesce("__root", "__fp")).dropDuplicates(["__root"])
     return stay.unionByName(one.select(*docs.columns))
