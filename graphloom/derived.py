@@ -12,7 +12,7 @@ _TEXT = {
     "g_cs": "SELECT DISTINCT 2 * o_custkey AS src, 2 * l_suppkey + 1 AS dst FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey",
     "g_ps": "SELECT DISTINCT 2 * l_partkey AS src, 2 * l_suppkey + 1 AS dst FROM {lineitem}",
     "g_pp": "SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey "
-    "AND a.l_partkey < b.l_partkey WHERE a.l_quantity >= 35 AND b.l_quantity >= 35",
+    "AND a.l_partkey < b.l_partkey",
     "g_tree": "SELECT CAST(0 AS BIGINT) AS src, CAST(1 + r_regionkey AS BIGINT) AS dst FROM {region} UNION ALL "
     "SELECT CAST(1 + n_regionkey AS BIGINT), CAST(10 + n_nationkey AS BIGINT) FROM {nation} UNION ALL "
     "SELECT CAST(10 + c_nationkey AS BIGINT), 100 + c_custkey FROM {customer}",

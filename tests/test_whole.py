@@ -2,7 +2,7 @@
 
 import pytest
 
-from graphloom import catalog
+from graphloom import catalog, derived
 
 
 @pytest.fixture(scope="module")
@@ -27,3 +27,10 @@ def test_every_part_supplier_edge(spark, lines, name):
 def test_average_distance_of_every_pair(spark, lines):
     """In each path of three vertices four ordered pairs at distance one and two at two."""
     assert catalog.queries()["a13_average_distance"](spark, lines).collect()[0][0] == pytest.approx(8 / 6)
+
+
+def test_every_co_order_edge(spark, lines):
+    """Small quantities make edges too: 10-20 and 30-40."""
+    assert sorted(map(tuple, derived.edges(spark, lines, "g_pp").collect())) == [(10, 20), (30, 40)]
+    assert sorted(r["vid"] for r in catalog.queries()["a6_label_propagation"](spark, lines).collect()) == [10, 20, 30, 40]
+    assert catalog.queries()["o11_spread"](spark, lines).count() == 4
