@@ -1,17 +1,19 @@
 """SimHash fingerprints and near-duplicate groups through a positional byte index.
 
 Two 64-bit fingerprints that differ in at most two bits share at least six of their
-eight positional bytes.  The byte positions are paired (01)(23)(45)(67); two differing
-bits touch at most two pairs, so some two pairs agree entirely.  Each of the six
-choices of two pairs is one posting key of four positional bytes: every qualifying pair
-meets under a key.  Pairs that meet are tallied over all eight positions, those with
-at least six equal bytes are verified bit by bit.
+eight positional bytes.  The index lists fingerprints under BLOCKS, the 14 sets of four
+byte positions of which any three positions lie in exactly one (positions whose numbers
+xor to zero).  Two fingerprints that share 4 bytes or fewer meet in at most one block,
+with 5 in exactly one, with 6 in three, with 7 in seven: so the number of blocks in which
+a pair meets tallies its shared bytes, and MIN_BLOCKS = 3 is the guaranteed minimum.
+Pairs that reach it are verified bit by bit, the others go.
 
 Posting lists over HOT_LIST distinct fingerprints emit no pairs.  They are linked
 through single-bit neighbours of their remaining 32 bits: fingerprints under one key and
 one neighbour differ in at most two bits, and any two that differ in at most two bits
 share a neighbour.  Such a list costs 33 rows a member and its groups have at most 33
-members, so the result is exact with no cap.
+members.  A pair within two bits either meets in three short lists, and is tallied, or in a
+long one, and is linked there: the result is exact whatever HOT_LIST is.
 
 Everything after the fingerprints works on distinct fingerprints (copies are folded
 before any shuffle of postings).  Defined edge cases: null or empty texts, and texts of
@@ -22,7 +24,8 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -39,8 +42,11 @@ from graphloom.plans.scratch import Scratch
 SHINGLE_WORDS = 3
 HASH_SEED = 42
 MAX_BITS = 2
-MIN_BYTES = 8 - MAX_BITS
 HOT_LIST = 64
+#: Sets of four byte positions, any three positions in exactly one of them.
+BLOCKS = [c for c in combinations(range(8), 4) if c[0] ^ c[1] ^ c[2] ^ c[3] == 0]
+#: Blocks within the bytes that two fingerprints of at most MAX_BITS differing bits share.
+MIN_BLOCKS = sum(not {0, 1} & set(b) for b in BLOCKS)
 _CHUNK = 1 << 16
 
 
@@ -73,42 +79,45 @@ def with_fingerprint(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", _fingerprints(F.col("text")).alias("fp"))
 
 
-def shared_bytes(a: Column, b: Column) -> Column:
-    """Positions, of eight, at which two fingerprints have the same byte."""
-    x = a.bitwiseXOR(b)
-    equal = [F.when(F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255)) == 0, 1).otherwise(0) for i in range(8)]
-    return sum(equal[1:], equal[0])
+def _bytes_at(fp: Column, positions: Iterable[int]) -> Column:
+    """The bytes at these positions, one after another."""
+    parts = [F.shiftleft(F.shiftrightunsigned(fp, 8 * p).bitwiseAND(F.lit(0xFF)), 8 * n) for n, p in enumerate(positions)]
+    return reduce(lambda a, b: a.bitwiseOR(b), parts)
 
 
-def _postings(fps: DataFrame) -> DataFrame:
-    """(key, rest, fp): four positional bytes under the number of their two pairs, and the other four."""
-    pair = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    rows = []
-    for n, (i, j) in enumerate(combinations(range(4), 2)):
-        k, m = (x for x in range(4) if x not in (i, j))
-        key = F.lit(n << 32).bitwiseOR(F.shiftleft(pair[i], 16)).bitwiseOR(pair[j])
-        rows.append(F.struct(key.alias("key"), F.shiftleft(pair[k], 16).bitwiseOR(pair[m]).alias("rest")))
-    return fps.select("fp", F.explode(F.array(*rows)).alias("p")).select("p.key", "p.rest", "fp")
+def postings(fps: DataFrame) -> DataFrame:
+    """(key, fp) of every block: the key is the block's number and the bytes at its positions."""
+    keys = [F.lit(n << 32).bitwiseOR(_bytes_at(F.col("fp"), b)) for n, b in enumerate(BLOCKS)]
+    return fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
+
+
+def _rest(key: Column, fp: Column) -> Column:
+    """The four bytes of a fingerprint that are not in its key."""
+    rest = F.lit(0).cast("long")
+    for n, b in enumerate(BLOCKS):
+        rest = F.when(F.shiftrightunsigned(key, 32) == n, _bytes_at(fp, [p for p in range(8) if p not in b])).otherwise(rest)
+    return rest
+
+
+def tally(listed: DataFrame) -> DataFrame:
+    """(u, v, blocks) of every pair that meets in a posting list."""
+    u, v = listed.select("key", F.col("fp").alias("u")), listed.select("key", F.col("fp").alias("v"))
+    return u.join(v, "key").where("u < v").groupBy("u", "v").agg(F.count("*").alias("blocks"))
 
 
 def links(fps: DataFrame, scratch: Scratch, hot_list: int = HOT_LIST) -> DataFrame:
     """(u, v) links among distinct fingerprints whose components are those of all links of at most two bits."""
-    post = scratch.save(_postings(fps))
+    post = scratch.save(postings(fps))
     sizes = scratch.save(post.groupBy("key").count().where("count > 1"))
     listed = post.join(sizes, "key")
     few = scratch.save(listed.where(F.col("count") <= hot_list).select("key", "fp"))
-    a, b = few.select("key", F.col("fp").alias("u")), few.select("key", F.col("fp").alias("v"))
-    pairs = (
-        a.join(b, "key")
-        .where("u < v")
-        .where(shared_bytes(F.col("u"), F.col("v")) >= MIN_BYTES)
-        .where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_BITS)
-        .select("u", "v")
-    )
-    near = F.array(F.col("rest"), *(F.col("rest").bitwiseXOR(F.lit(1 << i)) for i in range(32)))
+    near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_BITS
+    pairs = tally(few).where(F.col("blocks") >= MIN_BLOCKS).where(near).select("u", "v")
+    rest = _rest(F.col("key"), F.col("fp"))
+    around = F.array(rest, *(rest.bitwiseXOR(F.lit(1 << i)) for i in range(32)))
     stars = (
         listed.where(F.col("count") > hot_list)
-        .select("key", "fp", F.explode(near).alias("near"))
+        .select("key", "fp", F.explode(around).alias("near"))
         .select("fp", F.min("fp").over(Window.partitionBy("key", "near")).alias("least"))
         .where("fp <> least")
         .select(F.col("least").alias("u"), F.col("fp").alias("v"))
@@ -119,15 +128,13 @@ def links(fps: DataFrame, scratch: Scratch, hot_list: int = HOT_LIST) -> DataFra
 
 
 def components(marked: DataFrame, scratch: Scratch, linked: Callable[[DataFrame, Scratch], DataFrame] = links) -> DataFrame:
-    """(doc_id, fp) rows -> (fp, component_id) for each distinct fingerprint."""
+    """(doc_id, fp) rows -> (fp, root, component_id) for each distinct fingerprint; root: the least of its group."""
     fps = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    found = linked(fps, scratch)
-    groups = scratch.save(star_components(found, scratch))
-    named = fps.join(groups.withColumnRenamed("id", "fp"), "fp")
-    least = scratch.save(named.groupBy("component").agg(F.min("first_id").alias("component_id")))
-    linked = groups.join(least, "component").select(F.col("id").alias("fp"), "component_id")
-    alone = fps.join(groups, fps.fp == groups.id, "left_anti").select("fp", F.col("first_id").alias("component_id"))
-    return scratch.save(linked.unionByName(alone))
+    groups = scratch.save(star_components(linked(fps, scratch), scratch).withColumnsRenamed({"id": "fp", "component": "root"}))
+    least = scratch.save(fps.join(groups, "fp").groupBy("root").agg(F.min("first_id").alias("component_id")))
+    grouped = groups.join(least, "root").select("fp", "root", "component_id")
+    alone = fps.join(groups, "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("first_id").alias("component_id"))
+    return scratch.save(grouped.unionByName(alone))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -144,30 +151,26 @@ def keep_one(
     fingerprints: Callable[[Column], Column] = _fingerprints,
     linked: Callable[[DataFrame, Scratch], DataFrame] = links,
 ) -> DataFrame:
-    """The documents, with all their columns, of which each group keeps the one of least id.
+    """The documents, with all their columns, of which each group keeps one of least id.
 
-    Of rows that repeat an id one stays; a group of rows without ids keeps one of them.
-    Other fingerprints come with their own (doc_id, fp) rows and links.
+    Of a group's rows that share its least id, any one stays, and a group of rows without ids keeps any one of
+    them; rows of one id in different groups are different documents.  Other fingerprints come with their own
+    (doc_id, fp) rows and links.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     if marked is None:
         marked = scratch.save(with_fingerprint(docs))
     named = components(marked, scratch, linked)
-    ids = scratch.save(
-        marked.where("doc_id is not null")
-        .join(named.select("fp", F.col("component_id").alias("doc_id")), ["fp", "doc_id"], "left_semi")
-        .groupBy("doc_id")
-        .agg(F.count("*").alias("n"))
-    )
+    # Ids that some group keeps, and how many rows bear them: a single row's id says that it stays.
+    roots = named.groupBy(F.col("component_id").alias("kept")).agg(F.count("*").alias("groups"))
+    bearers = marked.groupBy("doc_id").agg(F.count("*").alias("n"))
+    ids = scratch.save(bearers.join(roots, F.col("doc_id").eqNullSafe(F.col("kept"))).select("doc_id", "n"))
     # The ids to keep grow with the corpus: a shuffled join at every size, never a broadcast.
-    stay = docs.join(ids.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
-    if not ids.where("n > 1").isEmpty():
-        stay = stay.dropDuplicates(["doc_id"])
-    if marked.where("doc_id is null").isEmpty():
+    stay = docs.join(ids.where("n = 1 and doc_id is not null").select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+    several = scratch.save(ids.where("n > 1 or doc_id is null").select(F.col("doc_id").alias("__id")))
+    if several.isEmpty():
         return stay
-    lost = docs.where("doc_id is null").withColumn("__fp", fingerprints(F.col("text")))
-    bare = lost.join(named.where("component_id is null").select(F.col("fp").alias("__fp")), "__fp", "left_semi")
-    roots = star_components(linked(bare.select(F.col("__fp").alias("fp")).distinct(), scratch), scratch)
-    bare = bare.join(roots.select(F.col("id").alias("__fp"), F.col("component").alias("__root")), "__fp", "left")
-    one = bare.withColumn("__root", F.coalesce("__root", "__fp")).dropDuplicates(["__root"])
-    return stay.unionByName(one.select(*docs.columns))
+    rows = docs.join(several.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").withColumn("__fp", fingerprints(F.col("text")))
+    kept = named.select(F.col("fp").alias("__fp"), F.col("root").alias("__root"), F.col("component_id").alias("__id"))
+    firsts = rows.join(kept.hint("merge"), "__fp").where(F.col("doc_id").eqNullSafe(F.col("__id")))
+    return stay.unionByName(firsts.dropDuplicates(["__root"]).select(*docs.columns))

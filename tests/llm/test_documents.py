@@ -68,6 +68,30 @@ def test_simhash_links(spark, hot):
     assert root == groups(fps, lambda a, b: bin(a ^ b).count("1") <= 2)
 
 
+def test_simhash_tally(spark):
+    """Blocks that a pair meets in tell its shared bytes: the key alone admits pairs that the tally rejects."""
+    r = random.Random(7)
+    base = r.getrandbits(63)
+    fps = {base ^ sum(r.randrange(1, 256) << 8 * p for p in r.sample(range(8), n)) for n in (0, 1, 2, 3, 4, 5, 6) for _ in range(6)}
+    fps = sorted(f - (1 << 64) if f >> 63 else f for f in {f & (2**64 - 1) for f in fps})
+    met = {(t["u"], t["v"]): t["blocks"] for t in simhash.tally(simhash.postings(spark.createDataFrame([(f,) for f in fps], "fp long"))).collect()}
+    seen = Counter()
+    for i, a in enumerate(fps):
+        for b in fps[i + 1 :]:
+            shared = sum((a ^ b) >> 8 * p & 255 == 0 for p in range(8))
+            assert (met.get((a, b), 0) >= simhash.MIN_BLOCKS) == (shared >= 6)
+            seen[shared, met.get((a, b), 0)] += 1
+    assert seen[5, 1] and seen[4, 1] and seen[6, 3] and seen[7, 7]
+
+
+def test_simhash_keeps_texts_of_repeated_ids(spark):
+    """Rows of one id in different groups are different documents; a copy goes whatever its id."""
+    a, b = "one two three four five six", "nothing of this is like the other text at all"
+    rows = [(3, a, "en", "s", 1), (5, a, "en", "s", 1), (5, b, "en", "s", 1), (5, b.upper(), "en", "s", 1), (None, a, "en", "s", 1), (None, "x y z", "en", "s", 1), (None, "X Y Z", "en", "s", 1)]
+    kept = sorted((r["doc_id"] or 0, r["text"].lower()) for r in simhash.keep_one(messy.documents(spark, rows)).collect())
+    assert kept == [(0, "x y z"), (3, a), (5, b)]
+
+
 def test_simhash_keeps_one(spark):
     docs = messy.documents(spark)
     kept = simhash.keep_one(docs)
