@@ -1,11 +1,14 @@
 """Document operators against brute-force versions, and on messy tables."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -103,15 +106,59 @@ def test_simhash_keeps_one(spark):
 # op5
 
 
-def test_language_models_are_normalised():
-    import numpy as np
+def language_models(spark, samples, **bounds):
+    rows = [(k, False, t) for k, texts in samples.items() for t in texts]
+    counts = pd.concat(langid._counted(iter([pd.DataFrame(rows, columns=["lang", "part", "text"])])))
+    return langid.models_of(spark.createDataFrame(counts), Scratch(spark), **bounds)[0]
 
-    m = langid.Models({"a": ["abab ba", "aab"], "b": ["bbb cab", "c"]})
-    size = int(m.char.max()) + 1
-    for head in ("ab ", "bbb", "zzz"):
-        codes = m._codes([head])[0]
-        total = sum(np.exp(m._log_probabilities(np.append(codes, np.uint64(c)), np.array([len(codes)]))[0]) for c in range(size))
-        assert total == pytest.approx([1, 1], abs=1e-4)
+
+def log_p(models, text):
+    """Log-probabilities of the last character after the three before it."""
+    return models._log_p([np.array([ord(c)], dtype=np.uint64) for c in text[-4:]])[0]
+
+
+@pytest.mark.parametrize("cells", [1 << 21, 8])
+def test_language_models_are_normalised(spark, cells):
+    """Also where rare n-grams are left out."""
+    m = language_models(spark, {"a": ["abab ba", "aab", "abba abba"], "b": ["bbb cab", "c", "cab cab"]}, max_cells=cells)
+    assert cells > 8 or len(m.keys[4]) <= 4
+    for head in (" ab", "bbb", "zzz"):
+        total = sum(np.exp(log_p(m, head + c)) for c in "abc z")
+        assert total == pytest.approx([1, 1], abs=1e-4) and m.alphabet == 5
+
+
+def test_letters():
+    texts = ["", None, "Ab--c1d_e ", "  ²½Été\n", "...", "x"]
+    codes, sizes = langid.letters(texts, 3)
+    want = [" ".join(re.findall(r"[^\W\d_]+", (t or "").lower())) for t in texts]
+    assert "".join(map(chr, codes)) == "".join("   " + w for w in want) and sizes.tolist() == [len(w) for w in want]
+    at = langid._places(sizes, 3)
+    assert "".join(chr(codes[i]) for i in at) == "".join(want)
+
+
+def test_every_script_has_its_characters(spark):
+    """Thousands of characters, of several scripts, and none is folded into another."""
+    r = random.Random(5)
+    scripts = {"zh": range(0x4E00, 0x4E00 + 6000), "ko": range(0xAC00, 0xAC00 + 2000), "ja": range(0x3041, 0x3097), "sux": range(0x12000, 0x12300)}
+    m = language_models(spark, {k: ["".join(map(chr, [*v, *r.choices(v, k=3 * len(v))]))] for k, v in scripts.items()})
+    assert len(m.keys[1]) == m.alphabet - 1 == sum(map(len, scripts.values()))
+    for k, v in scripts.items():
+        found = m.predict(["".join(chr(r.choice(v)) for _ in range(80))])
+        assert found["lang_pred"][0] == k and found["score"][0] > 0.99
+
+
+def test_tally_in_parts():
+    """Merged and flushed counts add up."""
+    t, texts = langid.Tally(), ["abc abd", "abc", "zz"]
+    whole = Counter()
+    for label, text in enumerate(texts):
+        t.add([text], np.array([label % 2]))
+        t.merge()
+        padded = "   " + text
+        whole.update((label % 2, padded[i - 3 : i + 1]) for i in range(3, len(padded)))
+    label, first, last, many = t.flush()
+    got = {(k, "".join(map(chr, (a >> 21, a & 0x1FFFFF, b >> 21, b & 0x1FFFFF)))): n for k, a, b, n in zip(*(x.tolist() for x in (label, first, last, many)))}
+    assert got == whole and not len(t.flush()[0])
 
 
 def plain_kneser_ney(texts, order, head, char, alphabet):
@@ -137,16 +184,11 @@ def plain_kneser_ney(texts, order, head, char, alphabet):
     return p(head, order)
 
 
-def test_language_model_values():
-    import math
-
+def test_language_model_values(spark):
     texts = ["abracadabra ba", "cab ab", "banana"]
-    m = langid.Models({"x": texts})
-    size = int(m.char.max()) + 1
+    m = language_models(spark, {"x": texts})
     for head, char in (("abr", "a"), ("zab", "r"), ("nan", "c"), ("   ", "b")):
-        codes = m._codes([head + char])[0]
-        got = m._log_probabilities(codes, __import__("numpy").array([len(codes) - 1]))[0][0]
-        assert got == pytest.approx(math.log(plain_kneser_ney(texts, langid.ORDER, head, char, size)), abs=1e-4)
+        assert log_p(m, head + char)[0] == pytest.approx(math.log(plain_kneser_ney(texts, langid.ORDER, head, char, m.alphabet)), abs=1e-4)
 
 
 def test_language_rows(spark):
@@ -244,8 +286,6 @@ def test_minhash_borrowing():
 
 
 def test_scan_is_the_recursion():
-    import numpy as np
-
     r = np.random.default_rng(1)
     a, b, c, d = (r.uniform(0.1, 2, 1000) for _ in range(4))
     want, x = [], 1.0
@@ -257,10 +297,6 @@ def test_scan_is_the_recursion():
 
 def test_marginals_by_enumeration():
     import itertools
-    import math
-
-    import numpy as np
-
     chain = toxicity.Chain()
     chain.weights, chain.bias, chain.start = {"=bad": 2.0, "=x": -1.0}, -0.5, 0.3
     chain.move = np.array([[0.2, -0.4], [0.1, 0.6]])
