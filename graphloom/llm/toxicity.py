@@ -22,6 +22,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -32,14 +33,15 @@ from pyspark.sql import types as T
 from graphloom.llm.common import crc_bucket, small_batches
 from graphloom.llm.sampling import bounded_sample
 
-SAMPLE_TOXIC = 450
-SAMPLE_CLEAN = 600
+SAMPLE_TOXIC = 1200
+SAMPLE_CLEAN = 1200
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.5
 MIN_COVER = 2
 CLEAN_COST = 3.0
-ROUNDS = 30
+ROUNDS = 40
 KEPT_WORDS = 60_000
+BLOCK_TOKENS = 1 << 16
 
 _WORD = re.compile(r"\w+")
 _HUGE = 20.0
@@ -140,6 +142,12 @@ class Chain:
         odds = forward * backward
         return odds / (1 + odds), bounds
 
+    def expected(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected number of toxic tokens of each text, and what marginals() gives."""
+        p, bounds = self.marginals(texts)
+        sums = np.add.reduceat(np.append(p, 0.0), np.minimum(bounds[:-1], len(p))) * (np.diff(bounds) > 0) if len(texts) else np.zeros(0)
+        return sums, p, bounds
+
     def scores(self, expected: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Calibrated scores of documents with so many expected toxic words among so many words."""
         return 1 / (1 + np.exp(np.clip(-_evidence(expected, words) @ self.beta, -700, 700))) if np.isfinite(self.beta[0]) else np.zeros(len(words))
@@ -147,8 +155,7 @@ class Chain:
     def read(self, texts: Iterable[str | None]) -> pd.DataFrame:
         """score and spans (code point offsets of toxic runs, end exclusive) of raw texts."""
         texts = list(texts)
-        p, bounds = self.marginals(words_of(t) for t in texts)
-        expected = np.add.reduceat(np.append(p, 0.0), np.minimum(bounds[:-1], len(p))) * (np.diff(bounds) > 0) if len(texts) else np.zeros(0)
+        expected, p, bounds = self.expected([words_of(t) for t in texts])
         spans: list[list[dict]] = [[] for _ in texts]
         for k in np.unique(np.searchsorted(bounds, np.flatnonzero(p >= THRESHOLD), side="right") - 1).tolist():
             last = -2
@@ -219,39 +226,53 @@ def train(toxic: list[str], clean: list[str]) -> Chain:
     names: dict[str, int] = {}
     by = [np.array([names.setdefault(f, len(names)) for f in known(w)], dtype=np.int32) for w in number]
     of_word, of_name = np.repeat(np.arange(len(by), dtype=np.int32), [len(x) for x in by]), np.concatenate(by)
-    starts = bounds[:-1]
-    inner = np.ones(len(tokens), dtype=bool)
-    inner[starts] = False
-    before, here = np.flatnonzero(inner) - 1, np.flatnonzero(inner)
-    step_truth = np.array([[((1 - truth[before]) * (1 - truth[here])).sum(), ((1 - truth[before]) * truth[here]).sum()], [(truth[before] * (1 - truth[here])).sum(), (truth[before] * truth[here]).sum()]])
+    blocks = _blocks(bounds)
     theta = np.zeros(len(names) + 6)  # features, bias, start, moves
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, ROUNDS + 1):
         w, chain.bias, chain.start = theta[:-6], theta[-6], theta[-5]
         chain.move = theta[-4:].reshape(2, 2)
-        e = np.bincount(of_word, weights=w[of_name], minlength=len(number))[tokens] + chain.bias
-        forward, backward, x = chain.passes(e, starts)
-        p = forward * backward / (1 + forward * backward)
-        m = np.exp(chain.move)
-        f, bx = forward[before], (backward * x)[here]
-        whole = m[0, 0] + m[0, 1] * bx + f * m[1, 0] + f * m[1, 1] * bx
-        step = np.array([[(m[0, 0] / whole).sum(), (m[0, 1] * bx / whole).sum()], [(f * m[1, 0] / whole).sum(), (f * m[1, 1] * bx / whole).sum()]])
-        by_word = np.bincount(tokens, weights=truth - p, minlength=len(number))
-        grad = np.concatenate([
-            np.bincount(of_name, weights=by_word[of_word], minlength=len(names)),
-            [by_word.sum(), (truth - p)[starts].sum()],
-            (step_truth - step).ravel(),
-        ])
+        of = np.bincount(of_word, weights=w[of_name], minlength=len(number)) + chain.bias
+        by_word, at_start, moves = np.zeros(len(number)), 0.0, np.zeros((2, 2))
+        for b in blocks:  # so that memory does not follow the sample
+            part, true = tokens[b[0] : b[-1]], truth[b[0] : b[-1]]
+            miss, step = _misfit(chain, of[part], b[:-1] - b[0], true)
+            by_word += np.bincount(part, weights=miss, minlength=len(number))
+            at_start += miss[b[:-1] - b[0]].sum()
+            moves += step
+        grad = np.concatenate([np.bincount(of_name, weights=by_word[of_word], minlength=len(names)), [by_word.sum(), at_start], moves.ravel()])
         grad -= 0.01 * theta
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad * grad
         theta = theta + 0.5 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-6)
     chain.bias, chain.start, chain.move = float(theta[-6]), float(theta[-5]), theta[-4:].reshape(2, 2)
     chain.weights = {f: float(theta[k]) for f, k in names.items()}
-    p, _ = chain.marginals(texts)
-    chain.beta = _calibrated(_evidence(np.add.reduceat(p, starts), np.diff(bounds)), np.array(flags, dtype=np.float64))
+    expected = np.concatenate([chain.expected(texts[a:z])[0] for a, z in pairwise(np.searchsorted(bounds, [b[0] for b in blocks] + [bounds[-1]]).tolist())])
+    chain.beta = _calibrated(_evidence(expected, np.diff(bounds)), np.array(flags, dtype=np.float64))
     return chain
 
 
+def _blocks(bounds: np.ndarray, most: int = BLOCK_TOKENS) -> list[np.ndarray]:
+    """Bounds of neighbouring texts that have about ``most`` tokens together; no text is split."""
+    cut = np.flatnonzero(np.diff(bounds[:-1] // most, prepend=-1))
+    return [bounds[a : z + 1] for a, z in pairwise([*cut.tolist(), len(bounds) - 1])]
+
+
+def _misfit(chain: Chain, e: np.ndarray, starts: np.ndarray, truth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Truth less expectation: by token, and of the four moves summed."""
+    forward, backward, x = chain.passes(e, starts)
+    p = forward * backward / (1 + forward * backward)
+    inner = np.ones(len(e), dtype=bool)
+    inner[starts] = False
+    here = np.flatnonzero(inner)
+    before, m = here - 1, np.exp(chain.move)
+    f, bx = forward[before], (backward * x)[here]
+    whole = m[0, 0] + m[0, 1] * bx + f * m[1, 0] + f * m[1, 1] * bx
+    now, then = truth[here], truth[before]
+    found = [[m[0, 0] / whole, m[0, 1] * bx / whole], [f * m[1, 0] / whole, f * m[1, 1] * bx / whole]]
+    true = [[(1 - then) * (1 - now), (1 - then) * now], [then * (1 - now), then * now]]
+    return truth - p, np.array([[(t - g).sum() for t, g in zip(*pair, strict=True)] for pair in zip(true, found, strict=True)])
+
+
 def _evidence(expected: np.ndarray, words: np.ndarray) -> np.ndarray:
     """What a document's score is computed from: expected toxic words, on two scales, and its length."""
     return np.stack([np.ones(len(words)), np.log(expected + _NONE), np.log1p(expected), np.log1p(words)], axis=1)
