@@ -7,8 +7,8 @@ each site's rate toward the global rate and each section's toward its site's, th
 fewer documents it has.  A document's score adds its own evidence to its section's
 posterior, of which the document itself is left out.
 
-Only the classifier is fitted on the driver, on a bounded sample of labelled rows
-(SAMPLE_PER_CLASS of each label by a hash of their ids).  Site statistics are grouped
+Only the classifier is fitted on the driver, on the features (never the texts) of a bounded
+sample of labelled rows (SAMPLE_PER_CLASS of each label by a hash of their ids).  Site statistics are grouped
 sums over all documents with partial aggregation, so a site with a third of all rows
 costs no more than others; sums are kept in millionths, whole numbers, so they do not
 depend on the order of rows.
@@ -34,6 +34,7 @@ SAMPLE_PER_CLASS = 3000
 FOLDS, HELD_OUT = 5, 0
 SITE_WEIGHT = 0.5
 KEEP = 0.5
+JOIN_ROWS = 20_000
 _UNIT = 1_000_000
 _FLOOR = 1e-4
 
@@ -75,11 +76,11 @@ def features(text: str | None) -> list[float]:
 class Classifier:
     """Ridge logistic regression on standardised features and their squares."""
 
-    def __init__(self, good: list[str | None], bad: list[str | None]):
+    def __init__(self, good: list[list[float]], bad: list[list[float]]):
         self.ready = bool(good) and bool(bad)
         if not self.ready:
             return
-        raw = np.array([features(t) for t in [*good, *bad]])
+        raw = np.array([*good, *bad])
         self.mean, self.scale = raw.mean(axis=0), raw.std(axis=0) + 1e-6
         x = self._design(raw)
         y = np.repeat([1.0, 0.0], [len(good), len(bad)])
@@ -106,9 +107,16 @@ class Classifier:
 def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) -> Classifier:
     """Classifier from the labelled documents outside the held-out fold."""
     known = labels.where(F.col("quality").isin(0, 1) & (crc_bucket(F.col("doc_id"), folds) != held_out)).select("doc_id", "quality").distinct()
+    small_batches(docs.sparkSession)
     ids = F.broadcast(bounded_sample(known, "doc_id", "quality", SAMPLE_PER_CLASS))  # about twice SAMPLE_PER_CLASS ids
-    rows = docs.select("doc_id", "text").join(ids, "doc_id").orderBy("doc_id", "text").collect()
-    return Classifier([r["text"] for r in rows if r["quality"] == 1], [r["text"] for r in rows if r["quality"] == 0])
+    rows = docs.select("doc_id", "text").join(ids, "doc_id").select("quality", _features("text").alias("f")).collect()
+    found = sorted((r["quality"], r["f"]) for r in rows)  # the fit does not depend on how rows arrive
+    return Classifier([f for q, f in found if q == 1], [f for q, f in found if q == 0])
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _features(texts: pd.Series) -> pd.Series:
+    return pd.Series([features(t) for t in texts], dtype=object)
 
 
 def _logit(p: Column) -> Column:
@@ -116,7 +124,7 @@ def _logit(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
-def _strength(groups: DataFrame, rate: Column) -> Column:
+def _strength(rate: Column) -> Column:
     """Prior documents (1 to 1000) by moments: how far group rates spread around ``rate`` beyond sampling noise."""
     inner = F.sum(F.col("n") * rate * (1 - rate))
     spread = F.sum(F.col("n") * F.pow(F.col("good") / F.col("n") - rate, 2))
@@ -140,16 +148,17 @@ def score(docs: DataFrame, classifier: Classifier, host: Column, path: Column) -
     section = F.coalesce(F.concat(F.lit("="), path.cast("string")), F.lit("null"))
     marked = scratch.save(docs.select("doc_id", site.alias("site"), section.alias("section"), evidence(F.col("text")).alias("p")))
     sections = scratch.save(marked.groupBy("site", "section").agg(F.count("*").cast("double").alias("n"), (F.sum("p") / _UNIT).alias("good")))
-    sites = sections.groupBy("site").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    sites = scratch.save(sections.groupBy("site").agg(F.sum("n").alias("n"), F.sum("good").alias("good")))
     overall = sites.agg(F.sum("good") / F.greatest(F.sum("n"), F.lit(1.0))).first()[0]
     overall = 0.5 if overall is None else float(overall)
-    site_prior = sites.agg(_strength(sites, F.lit(overall))).first()[0] or 1.0
-    sites = sites.withColumn("host_rate", (F.col("good") + site_prior * overall) / (F.col("n") + site_prior))
-    both = sections.join(sites.select("site", "host_rate"), "site")
-    section_prior = both.agg(_strength(both, F.col("host_rate"))).first()[0] or 1.0
-    both = scratch.save(both)
+    site_prior = sites.agg(_strength(F.lit(overall))).first()[0] or 1.0
+    sites = sites.select("site", ((F.col("good") + site_prior * overall) / (F.col("n") + site_prior)).alias("host_rate"))
+    both = scratch.save(sections.join(sites.hint("merge"), "site"))
+    section_prior = both.agg(_strength(F.col("host_rate"))).first()[0] or 1.0
     own = F.col("p") / F.lit(float(_UNIT))
     rate = (F.col("good") - own + section_prior * F.col("host_rate")) / (F.col("n") - 1 + section_prior)
+    # Sites grow with the corpus: a table of over JOIN_ROWS sections is joined by shuffle.
+    both = F.broadcast(both) if both.count() <= JOIN_ROWS else both.hint("merge")
     out = marked.join(both, ["site", "section"]).withColumns({"own": own, "path_rate": rate})
     total = _logit(F.col("own")) + SITE_WEIGHT * (_logit(F.col("path_rate")) - _logit(F.lit(overall)))
     out = out.withColumn("score", F.round(1 / (1 + F.exp(-total)), 6))

@@ -358,6 +358,60 @@ def test_quality(spark):
     assert all(min(s / 60, 0.66) - 0.05 <= f["host_rate"] <= max(s / 60, 0.66) + 0.05 for f in found for s in [sums[f["doc_id"] % 5]])
 
 
+def plain_posteriors(found, docs):
+    """host_rate, path_rate and score of each row by the formulas of the module, from its classifier's evidence."""
+    own = [f["doc_score"] for f in found]
+    site, section = [d[3] for d in docs], [(d[3], d[2]) for d in docs]
+
+    def sums(keys):
+        n, good = Counter(keys), Counter()
+        for k, p in zip(keys, own):
+            good[k] += p
+        return n, good
+
+    def strength(groups, rate):
+        total = sum(n for n, _, _ in groups)
+        inner = sum(n * r * (1 - r) for n, _, r in groups)
+        spread = sum(n * (g / n - r) ** 2 for n, g, r in groups)
+        between = max((spread - sum(r * (1 - r) for _, _, r in groups)) / total, 1e-9)
+        return min(max(inner / total / between - 1, 1), 1000)
+
+    n, good = sums(site)
+    overall = sum(own) / len(own)
+    prior = strength([(n[k], good[k], overall) for k in n], overall)
+    host = {k: (good[k] + prior * overall) / (n[k] + prior) for k in n}
+    m, fine = sums(section)
+    below = strength([(m[k], fine[k], host[k[0]]) for k in m], None)
+    logit = lambda p: math.log(min(max(p, 1e-4), 1 - 1e-4) / (1 - min(max(p, 1e-4), 1 - 1e-4)))
+    for p, k in zip(own, section):
+        path = (fine[k] - p + below * host[k[0]]) / (m[k] - 1 + below)
+        yield host[k[0]], path, 1 / (1 + math.exp(-(logit(p) + 0.5 * (logit(path) - logit(overall)))))
+
+
+@pytest.mark.parametrize("rows", [20_000, 1])
+def test_quality_posteriors(spark, monkeypatch, rows):
+    """Against plain arithmetic, and they alter decisions: doubtful documents follow their site."""
+    monkeypatch.setattr(quality, "JOIN_ROWS", rows)
+    r = random.Random(11)
+    words = {True: "plain words here again reading".split(), False: "$$$ BUY!!! %%% win### click".split()}
+    docs, marks = [], []
+    for i in range(400):
+        source = i % 4
+        good = r.random() < (0.05, 0.3, 0.9, 0.97)[source]
+        kind = [good if r.random() < 0.62 else not good for _ in range(14)]
+        docs.append((i, " ".join(r.choice(words[k]) for k in kind), ("en", "de", None)[i % 3], f"s{source}" if source else None, 1))
+        marks.append((i, int(good), 0))
+    table = messy.documents(spark, docs)
+    c = quality.fit(table, spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+    found = sorted(quality.score(table, c, table.source, table.lang).collect(), key=lambda f: f["doc_id"])
+    for f, want in zip(found, plain_posteriors(found, docs), strict=True):
+        assert (f["host_rate"], f["path_rate"], f["score"]) == pytest.approx(want, abs=3e-6)
+    held = [f for f in found if zlib.crc32(str(f["doc_id"]).encode()) % 5 == 0]
+    right = lambda key: sum((key(f) >= 0.5) == (marks[f["doc_id"]][1] == 1) for f in held) / len(held)
+    assert any((f["score"] >= 0.5) != (f["doc_score"] >= 0.5) for f in held)
+    assert right(lambda f: f["score"]) > right(lambda f: f["doc_score"])
+
+
 def test_quality_messy(spark):
     docs = messy.documents(spark)
     for marks in (messy.labels(spark), messy.labels(spark, True)):
@@ -365,6 +419,7 @@ def test_quality_messy(spark):
         assert len(found) == len(messy.ROWS) and all(0 <= f["score"] <= 1 for f in found)
     none = messy.documents(spark, [])
     assert quality.score(none, quality.Classifier([], []), none.source, none.lang).count() == 0
+    assert quality.score(none, quality.fit(none, messy.labels(spark)), none.source, none.lang).count() == 0
 
 
 # op9
