@@ -26,6 +26,7 @@ SHELL = (
         ("<article><p>5 < 6 &lt;b&gt; &#233;&eacute; &nbsp;z</p><ul><li>i<li>j</ul></article>", "5 < 6 <b> éé z\ni\nj"),
         ("<ARTICLE><P HIDDEN>no</P><P STYLE='display: none'>no</P><P DATA-X='a>b'>yes</P></ARTICLE>", "yes"),
         ("<article><p>a</p><script>if (1 < 2) '<p>bad</p>'</script><noscript>n</noscript><p>b</p></article>", "a\nb"),
+        ("<div class='post-content'><p>a</p><div class='sidebar'>no</div></div><div>other</div>", "a"),
         ("<article><table><tr><td>1</td><td>2</td></tr></table></article>", "1 2"),
     ],
 )
@@ -54,31 +55,78 @@ def test_run_ranks_are_runs():
 
 
 def plain_boilerplate(pages, run, least):
-    """Runs counted in a dictionary."""
+    """Runs counted in a dictionary; a run over block ends only removes whole blocks."""
     streams = [[w for b in p for w in [*b.split(" "), "\0"]] for p in pages]
     on = Counter(g for s in streams for g in {tuple(s[i : i + run]) for i in range(len(s) - run + 1)})
     out = []
     for s in streams:
-        gone = set()
+        own, over = set(), set()
         for i in range(len(s) - run + 1):
             if on[tuple(s[i : i + run])] >= least:
-                gone.update(range(i, i + run))
-        kept = " ".join("\0" if w == "\0" else w for i, w in enumerate(s) if i not in gone or w == "\0")
-        out.append("\n".join(x.strip() for x in kept.split("\0") if x.strip()))
+                (over if "\0" in s[i : i + run] else own).update(range(i, i + run))
+        kept, begin = [], 0
+        for end in (i for i, w in enumerate(s) if w == "\0"):
+            words = range(begin, end)
+            if not all(i in own or i in over for i in words):
+                kept.append(" ".join(s[i] for i in words if i not in own))
+            begin = end + 1
+        out.append("\n".join(k for k in kept if k))
     return out
 
 
+def cleaned(pages, run=8, least=3):
+    s = html_extract.Stream(pages, run)
+    return s.without({h for h, n in zip(*s.counts(), strict=True) if n >= least})
+
+
 def test_boilerplate():
     r = random.Random(2)
     menu, foot = ["Home About Us", "News Shop Contact Help"], ["All rights are reserved by the owner of this site"]
     pages = [[*menu, " ".join(f"w{r.randrange(500)}" for _ in range(40)), *foot] for _ in range(9)]
-    pages.append([*menu, pages[0][2], *foot])  # a copy of an article is no boilerplate
-    got = html_extract.without_boilerplate(pages)
+    pages.append([*menu, pages[0][2], *foot])  # an article on two pages is no boilerplate
+    got = cleaned(pages)
     assert got == plain_boilerplate(pages, 8, 3)
     assert all(g == p[2] for g, p in zip(got, pages, strict=True))
     noise = [[" ".join(r.choices("a b c".split(), k=r.randint(1, 12))) for _ in range(4)] for _ in range(7)]
-    assert html_extract.without_boilerplate(noise, 3, 2, 0.0) == plain_boilerplate(noise, 3, 2)
-    assert html_extract.without_boilerplate([]) == [] and html_extract.without_boilerplate([[]]) == [""]
+    for run in (1, 2, 3, 4):
+        assert cleaned(noise, run, 2) == plain_boilerplate(noise, run, 2)
+    assert cleaned([]) == [] and cleaned([[]]) == [""]
+
+
+def test_boilerplate_leaves_the_next_block_whole():
+    """A menu that runs on into the body's first word takes nothing from the body."""
+    menu = "Home News Shop Help About Us Now"
+    pages = [[menu, f"Body of page {n} here only"] for n in ("one", "two", "three")]
+    assert cleaned(pages) == [p[1] for p in pages] == plain_boilerplate(pages, 8, 3)
+
+
+def open_table(spark, pages):
+    rows = [(i, f"https://{h}/x", "<body>" + "".join(f"<div>{b}</div>" for b in blocks) + "</body>") for i, (h, blocks) in enumerate(pages)]
+    return messy.pages(spark, rows)
+
+
+@pytest.mark.parametrize("part_tokens", [200_000, 60])
+def test_host_in_parts(spark, part_tokens):
+    """Runs are counted over the whole host, however many arrays it is cut into; copies of a page count once."""
+    r = random.Random(4)
+    foot = "All rights are reserved by the owner of this site"
+    promo = "Subscribe today and read all of our stories for free"
+    words = lambda n: " ".join(f"w{r.randrange(900)}" for _ in range(n))
+    pages = [("a", [words(12), *([promo] if i < 6 else []), foot]) for i in range(30)] + [("b", [words(12), foot]) for _ in range(2)]
+    pages += [pages[7]] * 9 + [("a", ["one copied story about many things of the same day", words(3)])]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(open_table(spark, pages), part_tokens).collect()}
+    want = [b[0] if h == "a" and b[-1] == foot else "\n".join(b) for h, b in pages]
+    assert [got[i] for i in range(len(pages))] == want
+
+
+def test_hostile_html():
+    """Time grows with the page's length, not with its square."""
+    import time
+
+    for bad in ("<!", "<a ", "<a '", '<a b="', "<p", "</", "<!--", "&", "<script>", "<p>", "<div class='x'>", "<p><b>"):
+        began = time.time()
+        html_extract.parse(bad * 40_000)
+        assert time.time() - began < 10, bad
 
 
 def test_extract_rows(spark):
