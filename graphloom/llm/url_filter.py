@@ -9,7 +9,7 @@ that of some rule's path, so these few strings are its probes.
 The listed canonical strings are held in a blocked Bloom filter: a string sets K_BITS bits
 within one 64-bit block.  Probes that miss are dropped in place; possible hits go to an
 exact hash join with the rules, which removes false positives.  Urls are judged once
-each, whatever the number of pages that share one.
+each, whatever the number of pages that share one; pages without a host pass by the join.
 
 The filter's blocks are gathered on the driver only up to MAX_BLOCKS (about as many rules);
 a longer list is probed through a join with the table of blocks.
@@ -27,6 +27,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.plans.scratch import Scratch
+
 K_BITS = 6
 RULES_PER_BLOCK = 4
 MAX_BLOCKS = 1 << 12
@@ -110,10 +112,14 @@ def judge(pages: DataFrame, rules: DataFrame | None = None, otherwise: str = OTH
     lengths = sorted(r[0] for r in rules.select("path_length").distinct().collect())
     blocks = max(1, -(-rules.count() // RULES_PER_BLOCK))
     parts = with_parts(pages.select("page_id", "url"))
-    keys = parts.select("host", "path").where("host <> ''").distinct().select("host", "path", F.explode(probes(F.col("host"), F.col("path"), lengths)).alias("key"))
+    named = F.col("host") != ""
+    keys = parts.select("host", "path").where(named).distinct().select("host", "path", F.explode(probes(F.col("host"), F.col("path"), lengths)).alias("key"))
     hits = possible(keys, rules, blocks).join(rules.withColumnRenamed("rule", "key"), "key")
     best = hits.groupBy("host", "path").agg(F.max_by(F.struct("key", "verdict"), F.struct(F.length("key"), "key")).alias("best"))
-    return parts.join(best, ["host", "path"], "left").select(
+    # Written, so that the join below reads two plain exchanges, of which adaptive execution can split a frequent url.
+    best = Scratch(pages.sparkSession, "urls").save(best)
+    judged = parts.where(named).join(best, ["host", "path"], "left").unionByName(parts.where(~named), allowMissingColumns=True)
+    return judged.select(
         "page_id",
         "host",
         "path",
