@@ -9,7 +9,8 @@ size and checksum are folded to one row with a count, shards are cut into hash p
 about PART_ROWS rows, a part is numbered by running sums, and the parts' offsets come
 from the small table of part sizes.
 
-Only DataFrame functions are used.  Defined edge cases: null ids share one shard; null
+Only DataFrame functions are used.  A record that is repeated very often is unfolded in slices
+of SLICE_ROWS rows.  Defined edge cases: null ids share one shard; null
 texts count as empty (size 16, checksum 0); repeated rows each get a slot; an empty table
 gives no rows; further columns are ignored, whatever their names.
 """
@@ -26,6 +27,7 @@ from graphloom.plans.scratch import Scratch
 SHARDS = 40
 ROW_BYTES = 16
 PART_ROWS = 100_000
+SLICE_ROWS = 100_000
 
 
 def _cost(key: Column, shard: int, weight: float) -> Column:
@@ -47,6 +49,19 @@ def with_shard(records: DataFrame, key: str, weights: Sequence[float], column: s
     return records.withColumn(column, shard_of(F.col(key), weights)[0])
 
 
+def copies(folded: DataFrame, most: int, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Rows with a count n, at most ``most``, n times each, with their number ``copy`` from 0.
+
+    A row that stands for more than ``slice_rows`` is cut into slices that go to tasks of their own.
+    """
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy")
+    if most <= slice_rows:
+        return folded.select("*", each)
+    begin = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(slice_rows).cast("long"))).alias("begin")
+    within = F.explode(F.sequence(F.col("begin"), F.least(F.col("begin") + slice_rows, F.col("n")) - 1)).alias("copy")
+    return folded.select("*", begin).repartition("shard", "part", "begin").select("*", within)
+
+
 def placed(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS, grown_weight: float = 1.0) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard (with one more shard) of every document."""
     scratch = Scratch(docs.sparkSession, "sharding")
@@ -56,7 +71,7 @@ def placed(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS, grown_we
         .groupBy("doc_id", "size", "text_crc32")
         .agg(F.count("*").alias("n"))
     )
-    rows = folded.count()
+    rows, most = folded.agg(F.count("*"), F.max("n")).first()
     parts = max(1, -(-rows // (PART_ROWS * len(weights))))
     shard, cost = shard_of(F.col("doc_id"), weights)
     extra = _cost(F.col("doc_id"), len(weights), grown_weight)
@@ -70,8 +85,7 @@ def placed(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS, grown_we
     offsets = sums.select("shard", "part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("shard", "part").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
     numbered = at.withColumn("first", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(offsets, ["shard", "part"])
-    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))
-    return numbered.select("*", each.alias("copy")).select(
+    return copies(numbered, most or 0).select(
         "doc_id",
         "size",
         "text_crc32",
