@@ -10,8 +10,10 @@ equal bins corrected for the 1/256 that agree by chance.
 
 Everything is built from DataFrame functions and stays in the JVM.  Hashes of a text are
 handled in its own row, so fingerprinting moves no data.  Looking at the next document
-takes one shuffle of the plain texts by id, which both of its uses share (so sketches are
-made after it, where the exchange is the same for both), and one of the borrowed beginnings; the order of ids is found on ids alone, range by range.
+takes one shuffle of texts with their sketches by id, which both of its uses share, and one
+of the borrowed beginnings; so every text is sketched once, and its edited text once.  The
+order of ids is found on ids alone, range by range.  Rows that are repeated very often are
+unfolded in slices.
 
 Defined edge cases: null texts are empty; empty texts have the fingerprint of the empty
 sequence and are like each other; rows that repeat both id and text are one document in
@@ -27,6 +29,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm.sharding import copies
 from graphloom.plans.scratch import Scratch
 
 BINS_LOG2 = 7
@@ -145,24 +148,25 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", body.alias("text")).withColumns({"kid": kid, "h": F.xxhash64("text", F.col("doc_id").isNull())})
     keys = scratch.save(keyed.groupBy("kid", "h").agg(F.max(F.floor(F.length("text") / 4).cast("int")).alias("k"), F.count("*").alias("n")))
     before = scratch.save(_order(keys, scratch))
-    full = keyed
-    repeated = not keys.where("n > 1").isEmpty()
-    if repeated:
+    full = keyed.withColumn("bins", sketch(F.col("text")))
+    most = keys.agg(F.max("n")).first()[0] or 0
+    if most > 1:
         full = full.dropDuplicates(["kid", "h"])
     lent = full.join(before, ["kid", "h"]).select(
         F.col("before_kid").alias("kid"),
         F.col("before_h").alias("h"),
         F.col("doc_id").alias("next_doc_id"),  # with it both uses of the texts read the same columns, so they share an exchange
         F.expr("substring(text, 1, before_k)").alias("lent"),
-        sketch(F.col("text")).alias("next_bins"),
+        F.col("bins").alias("next_bins"),
     )
     size = F.length("text")
     out = full.join(lent, ["kid", "h"]).select(
         "*", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))"), "lent").alias("edited")
     )
-    if repeated:
-        out = out.join(keys.where("n > 1").select("kid", "h", "n"), ["kid", "h"], "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.coalesce("n", F.lit(1)).cast("int"))))
-    out = out.withColumns({"bins": sketch(F.col("text")), "edited_bins": sketch(F.col("edited"))})
+    out = out.withColumn("edited_bins", sketch(F.col("edited")))
+    if most > 1:
+        out = out.join(keys.where("n > 1").select("kid", "h", "n"), ["kid", "h"], "left").withColumns({"n": F.coalesce("n", F.lit(1).cast("long")), "shard": F.col("kid"), "part": F.col("h")})
+        out = copies(out, most)
     return out.select(
         "doc_id",
         size.cast("long").alias("n_chars"),
