@@ -13,10 +13,11 @@ encoding of the whole text.
 Chunks are kept in the Python worker, across tasks, within KEEP_CHARS characters; the
 oldest go first.  So reuse takes no shuffle and bounded memory.
 
-The vocabulary is a tokenizers JSON file named by the caller.  Its ids must be the order
-of its merges (as in all byte-level vocabularies of this family); it is then run by
-tiktoken, which gives the same ids several times faster.  Other files are run by the
-tokenizers library itself, chunk by chunk.
+The vocabulary is a tokenizers JSON file named by the caller.  If its ids are the order of
+its merges (as in all byte-level vocabularies of this family) it is run by tiktoken, which
+gives the same ids several times faster.  Any other file is run by the tokenizers library
+itself, which encodes and decodes whole texts, as its rules need not agree at cuts; equal
+texts are then what is reused.
 
 Defined edge cases: null texts are empty and have no ids; the special tokens' strings
 become their ids as in the library; repeated rows are repeated; an empty table gives no
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import small_batches
+from graphloom.llm.common import small_batches, utf8
 
 CHUNK_BITS = 8
 KEEP_CHARS = 3_000_000
@@ -107,18 +108,16 @@ class Codec:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.path, self.keep_chars = path, keep_chars
-        model, alphabet = spec["model"], byte_alphabet()
-        special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.bytes_of = {i: bytes(alphabet[c] for c in s) for s, i in model["vocab"].items() if s not in special}
-        self.bytes_of |= {i: s.encode() for s, i in special.items()}
-        self.kept: dict[str, tuple[bytes, int]] = {}
+        self.kept: dict[str, tuple[bytes, int, bytes | None]] = {}
         self.kept_chars = 0
-        ranks = {b: i for i, b in self.bytes_of.items() if i not in special.values()}
-        self.special, self.engine, self.library = special, None, None
-        if self._in_merge_order(spec, ranks, alphabet):
+        self.engine = self.library = None
+        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        self._special = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
+        if ranks := self._merge_order(spec):
             import tiktoken
 
-            self.engine = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+            self.bytes_of = {i: b for b, i in ranks.items()} | {i: s.encode() for s, i in self.special.items()}
+            self.engine = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
         else:
             from tokenizers import Tokenizer
 
@@ -126,36 +125,47 @@ class Codec:
             self.library.no_truncation()
             self.library.no_padding()
 
-    def _in_merge_order(self, spec: dict, ranks: dict[bytes, int], alphabet: dict[str, int]) -> bool:
-        before = spec.get("pre_tokenizer") or {}
-        model = spec["model"]
+    def _merge_order(self, spec: dict) -> dict[bytes, int] | None:
+        """Ids by bytes, if the vocabulary is byte-level, splits by PATTERN and numbers its tokens in the order of its merges."""
+        before, model, alphabet = spec.get("pre_tokenizer") or {}, spec.get("model") or {}, byte_alphabet()
+        plain = [s for s in model.get("vocab", {}) if s not in self.special] if isinstance(model.get("vocab"), dict) else []
         if spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
-            return False
-        if any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
-            return False
-        if any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip")) or any(" " in s for s in special_strings(spec)):
-            return False
+            return None
+        if (spec.get("decoder") or {}).get("type") != "ByteLevel" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+            return None
+        if any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip")) or any(" " in s for s in self.special):
+            return None
+        if any(c not in alphabet for s in plain for c in s):
+            return None
+        new = [s for s in self.special if s not in model["vocab"]]  # the library numbers these itself
+        if any(self.special[s] != model["vocab"].get(s, self.special[s]) for s in self.special) or [self.special[s] for s in new] != [len(model["vocab"]) + n for n in range(len(new))]:
+            return None
+        ranks = {bytes(alphabet[c] for c in s): model["vocab"][s] for s in plain}
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        if len(merges) + 256 != len(ranks) or sorted(ranks[bytes([b])] for b in range(256)) != list(range(256)):
-            return False
-        return all(ranks.get(bytes(alphabet[c] for c in a + b)) == 256 + n for n, (a, b) in enumerate(merges))
+        if len(merges) + 256 != len(ranks) or sorted(ranks.get(bytes([b]), -1) for b in range(256)) != list(range(256)):
+            return None
+        if any(ranks.get(bytes(alphabet.get(c, 0) for c in a + b)) != 256 + n for n, (a, b) in enumerate(merges)):
+            return None
+        return ranks
 
     def ids(self, piece: str) -> list[int]:
-        if self.engine is not None:
-            return self.engine.encode(piece, allowed_special="all") if "<|" in piece else self.engine.encode_ordinary(piece)
-        return self.library.encode(piece, add_special_tokens=False).ids
+        if self.library is not None:
+            return self.library.encode(piece, add_special_tokens=False).ids
+        return self.engine.encode(piece, allowed_special="all") if self._special.search(piece) else self.engine.encode_ordinary(piece)
 
     def decode(self, ids: list[int]) -> bytes:
+        """UTF-8 of the text of ids; of a byte-level vocabulary the bytes as they are."""
+        if self.library is not None:
+            return utf8(self.library.decode(list(ids), skip_special_tokens=False))
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def piece(self, text: str) -> tuple[bytes, int]:
-        """(decimal ids joined by commas, their number) of a piece, encoded at most once while kept."""
+    def piece(self, text: str) -> tuple[bytes, int, bytes | None]:
+        """(decimal ids joined by commas, their number, what they decode to if not to the text) of a piece, encoded at most once while kept."""
         known = self.kept.get(text)
         if known is None:
             ids = self.ids(text)
-            if self.decode(ids) != text.encode("utf-8", "surrogatepass"):
-                raise ValueError("the vocabulary does not give a text back")
-            known = (",".join(map(str, ids)).encode(), len(ids))
+            back = self.decode(ids)
+            known = (",".join(map(str, ids)).encode(), len(ids), None if back == utf8(text) else back)
             self.kept[text] = known
             self.kept_chars += len(text)
             while self.kept_chars > self.keep_chars and len(self.kept) > 1:
@@ -164,21 +174,13 @@ class Codec:
                 del self.kept[oldest]
         return known
 
-    def pieces(self, text: str) -> Iterator[tuple[str, tuple[bytes, int]]]:
+    def pieces(self, text: str) -> Iterator[tuple[str, tuple[bytes, int, bytes | None]]]:
         """Pieces of a whole text with their codes."""
-        if self.engine is None:
-            if text:
-                yield text, self.piece(text)
-            return
-        for part in spans(text):
+        for part in spans(text) if self.library is None else [text] if text else []:
             yield part, self.piece(part)
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for _, (code, n) in self.pieces(text or "") if n for i in code.split(b",")]
-
-
-def special_strings(spec: dict) -> list[str]:
-    return [t["content"] for t in spec.get("added_tokens", [])]
+        return [int(i) for _, (code, n, _) in self.pieces(text or "") if n for i in code.split(b",")]
 
 
 _CODECS: dict[str, Codec] = {}
@@ -201,9 +203,10 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         c, out = codec(path), []
         for t in texts:
             ids, back, n = hashlib.sha256(), hashlib.sha256(), 0
-            for part, (code, k) in c.pieces(t or ""):
-                ids.update(b"," + code if n else code)
-                back.update(part.encode("utf-8", "surrogatepass"))  # what piece() found the ids to decode to
+            for part, (code, k, decoded) in c.pieces(t or ""):
+                if k:
+                    ids.update(b"," + code if n else code)
+                back.update(utf8(part) if decoded is None else decoded)
                 n += k
             out.append((n, ids.hexdigest(), back.hexdigest()))
         return pd.DataFrame(out, columns=["n", "ids", "text"])

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -228,6 +229,41 @@ def test_sharding(spark):
     assert sharding.placed(messy.documents(spark, [])).count() == 0
 
 
+def xx(value, seed, kind="<q"):
+    return xxhash.xxh64(struct.pack(kind, value), seed=seed).intdigest()
+
+
+def signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_shard(key, shards):
+    """The shard of least -ln(u), computed apart from the library; a null key leaves the seed as it is."""
+    cost = {s: -math.log(((xx(s, 42 if key is None else xx(key, 42), "<i") >> 11) + 0.5) / 2**53) for s in range(shards)}
+    return min(cost, key=lambda s: (cost[s], s))
+
+
+def test_sharding_by_hand(spark):
+    docs = messy.documents(spark, messy.ROWS + [(i * 977, "t", "en", "a", 1) for i in range(150)])
+    for g in sharding.placed(docs).collect():
+        assert (g["shard"], g["grown_shard"]) == (plain_shard(g["doc_id"], 40), plain_shard(g["doc_id"], 41))
+
+
+def test_copies_in_slices(spark):
+    table = spark.createDataFrame([(1, 7, 0, 0), (2, 1, 0, 0)], "k long, n long, shard int, part int")
+    for slice_rows in (100, 3, 1):
+        got = sorted((r["k"], r["copy"]) for r in sharding.copies(table, 7, slice_rows).collect())
+        assert got == [(1, c) for c in range(7)] + [(2, 0)]
+
+
+def test_rows_repeated_often(spark, monkeypatch):
+    monkeypatch.setattr(sharding.copies, "__defaults__", (3,))
+    docs = messy.documents(spark, [(None, None, None, None, None)] * 20 + [(1, "a b c", "en", "a", 1)])
+    slots = [g["slot"] for g in sharding.placed(docs).collect() if g["doc_id"] is None]
+    assert len(slots) == 20 and len(set(slots)) == 20
+    assert Counter(g["doc_id"] for g in minhash.edited_likeness(docs).collect()) == {None: 20, 1: 1}
+
+
 def test_sharding_weights(spark):
     keys = spark.range(8000)
     share = sharding.with_shard(keys, "id", [1.0, 3.0]).where("shard = 1").count() / 8000
@@ -264,6 +300,35 @@ def test_minhash(spark):
     assert max(map(abs, errors)) < 0.2 and abs(sum(errors) / len(errors)) < 0.05
 
 
+def plain_sketch(text):
+    """One-permutation MinHash with affine borrowing, step by step."""
+    words = re.split(r"\s+", re.sub(r"\s+", " ", (text or "").lower()).strip(" "))
+    hashes = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in words]
+    least = {}
+    for run in [hashes[i : i + 5] for i in range(len(hashes) - 4)] or [hashes]:
+        h = 42
+        for w in run:
+            h = xx(signed(w), h)
+        least[h >> 57] = min(h, least.get(h >> 57, h))
+    out = []
+    for i, (slope, shift) in enumerate(zip(minhash.slopes(), minhash.shifts())):
+        b = i if i in least else min(least, key=lambda j: (slope * j + shift) % 131)
+        out.append(least[b] & 255)
+    return out
+
+
+def test_minhash_by_hand(spark):
+    r = random.Random(6)
+    rows = [(i, " ".join(r.choices([f"w{k}" for k in range(50)], k=n)), "en", "a", 1) for i, n in enumerate([1, 2, 4, 5, 6, 9, 40, 300, 900])]
+    rows += [(20, "", "en", "a", 1), (21, None, "en", "a", 1), (22, "Ärger  mit\tder Zeit im HAUS ", "de", "a", 1)]
+    sketches = {i: plain_sketch(t) for i, t, *_ in rows}
+    for g in minhash.edited_likeness(messy.documents(spark, rows)).collect():
+        a, b = sketches[g["doc_id"]], sketches[g["next_doc_id"]]
+        assert g["fingerprint"] == bytes(x ^ 128 for x in a).hex()
+        same = sum(x == y for x, y in zip(a, b)) / 128
+        assert g["near_next"] == pytest.approx(max(0, (same - 1 / 256) / (1 - 1 / 256)))
+
+
 def test_minhash_messy(spark):
     got = minhash.edited_likeness(messy.documents(spark)).collect()
     assert Counter(g["doc_id"] for g in got) == Counter(r[0] for r in messy.ROWS)
@@ -476,11 +541,62 @@ def test_bpe_rows(spark, library):
     assert all(r["decoded"] == (r["text"] or "") for r in round_trip)
 
 
-def test_bpe_other_vocabulary():
-    """A vocabulary whose rules differ is run by the library."""
-    c = bpe.Codec.__new__(bpe.Codec)
-    spec = {"model": {"merges": []}, "normalizer": {"type": "Lowercase"}, "pre_tokenizer": {"type": "ByteLevel"}}
-    assert not c._in_merge_order(spec, {}, {})
+def test_bpe_seams_agree_with_both_sides(library):
+    """Each chunk's own encoding and the seams' re-encoding agree up to every boundary of a piece."""
+    r = random.Random(8)
+    parts = [" ", "  ", "\n", "word", "the", "'s", "1", "é", "!", " of", " and", "漢", " a", " b"]
+    for _ in range(60):
+        text = "".join(r.choice(parts) for _ in range(1500))
+        whole, at = library.encode(text, add_special_tokens=False), 0
+        starts = {a for a, _ in whole.offsets}
+        for piece in bpe.spans(text):
+            assert at in starts
+            at += len(piece)
+        assert at == len(text)
+
+
+@pytest.mark.parametrize("change", ["lower", "foreign", "unsorted", "special"])
+def test_bpe_other_vocabularies(spark, tmp_path, change):
+    """Files whose rules differ are run by the library, and agree with it."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.loads(open(PATH, encoding="utf-8").read())
+    if change == "lower":
+        spec["normalizer"] = {"type": "Lowercase"}
+    elif change == "foreign":
+        spec["model"]["vocab"]["漢字"] = max(spec["model"]["vocab"].values()) + 10
+    elif change == "unsorted":
+        spec["model"]["merges"] = spec["model"]["merges"][:200]
+    else:
+        spec["added_tokens"].append({"id": 60_000, "content": "fox", "single_word": True, "lstrip": False, "rstrip": False, "normalized": False, "special": False})
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    library = Tokenizer.from_file(str(path))
+    assert bpe.Codec(str(path)).library is not None and bpe.Codec(PATH).engine is not None
+    got = Counter(tuple(r) for r in bpe.digests(messy.documents(spark), str(path)).collect())
+    want = Counter()
+    for row in messy.ROWS:
+        ids = library.encode(row[1] or "", add_special_tokens=False).ids
+        back = library.decode(ids, skip_special_tokens=False)
+        want[(row[0], len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())] += 1
+    assert got == want
+
+
+def test_bpe_special_strings_of_any_form(tmp_path):
+    """Special tokens are looked for by their own strings."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.loads(open(PATH, encoding="utf-8").read())
+    spec["added_tokens"].append({"id": Tokenizer.from_file(PATH).get_vocab_size(), "content": "[SEP]", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True})
+    path = tmp_path / "special.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    c, library = bpe.Codec(str(path)), Tokenizer.from_file(str(path))
+    text = "before [SEP]after[SEP][SEP] <|endoftext|>x " * 40
+    assert c.engine is not None and c.encode(text) == library.encode(text, add_special_tokens=False).ids
 
 
 # op10
