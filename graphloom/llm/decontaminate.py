@@ -11,7 +11,8 @@ those are streamed, which leaves the automaton's result as it is.
 
 The automaton is bounded: items go into blocks of at most BLOCK_WORDS words, built one
 at a time from a driver-side iterator, and every document meets every block.  With
-more than one block the hits so far are written between the passes.
+more than one block the documents are written once with a row number; each further pass
+writes only the spans and items of rows that it hits, which are joined by that number.
 
 Defined edge cases: null or empty texts have no words and no hits; items without words
 have no window; repeated items count once by id, an item with a null id takes part as
@@ -232,26 +233,32 @@ def _merged(spans: list[list[int]]) -> list[list[int]]:
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents with a column __found: n_words, spans (ranges of hit words) and items (sorted ids)."""
-    spark, scratch, done = docs.sparkSession, None, 0
+    spark, row = docs.sparkSession, "__decontaminate_row"
     small_batches(spark)
-    rows = ((r[0], r[1]) for r in benchmark.select("item_id", "text").toLocalIterator())
-    out = docs
-    for done, automaton in enumerate(automata(rows, window, block_words), 1):
+    items = ((r[0], r[1]) for r in benchmark.select("item_id", "text").toLocalIterator())
+    text, none = F.col("text"), F.array()
+    first = numbered = more = None
+    for automaton in automata(items, window, block_words):
         scan = _scanner(spark.sparkContext.broadcast(automaton))
-        if done == 1:
-            out = out.withColumn("__found", scan(F.col("text")))
+        if first is None:
+            first = scan
             continue
-        scratch = scratch or Scratch(spark, "decontaminate")
-        out = scratch.save(out).withColumn("__more", scan(F.col("text")))
-        both = F.struct(
-            F.col("__found.n_words").alias("n_words"),
-            F.concat("__found.spans", "__more.spans").alias("spans"),
-            F.array_sort(F.array_union("__found.items", "__more.items")).alias("items"),
-        )
-        out = out.withColumn("__found", both).drop("__more")
-    if done > 1:
-        out = out.withColumn("__found", F.col("__found").withField("spans", _union_of_spans(F.col("__found.spans"))))
-    return out
+        if numbered is None:
+            scratch = Scratch(spark, "decontaminate")
+            numbered = scratch.save(docs.withColumn(row, F.monotonically_increasing_id()))
+        hits = numbered.select(row, scan(text).alias("f")).where("size(f.spans) > 0").select(row, "f.spans", "f.items")
+        hits = scratch.save(hits)
+        more = hits if more is None else more.unionByName(hits)
+    if more is None:
+        return docs.withColumn("__found", first(text))
+    folded = more.groupBy(row).agg(F.flatten(F.collect_list("spans")).alias("__spans"), F.flatten(F.collect_list("items")).alias("__items"))
+    both = F.struct(
+        F.col("__found.n_words").alias("n_words"),
+        _union_of_spans(F.concat("__found.spans", F.coalesce("__spans", none.cast("array<array<bigint>>")))).alias("spans"),
+        F.array_sort(F.array_union("__found.items", F.coalesce("__items", none.cast("array<string>")))).alias("items"),
+    )
+    out = numbered.withColumn("__found", first(text)).join(folded, row, "left")
+    return out.withColumn("__found", both).select(*docs.columns, "__found")
 
 
 def hit_words(found: Column) -> Column:
