@@ -4,12 +4,15 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.functions import sets
 from graphloom.functions.sampling import AliasTable, choose
+from graphloom.graph import Graph
 from graphloom.operators import centrality, communities, components, convolve, kcore, mutual, neighbourhood, pagerank, propagation, traversal, walks
 from graphloom.operators.encode import encode
 from graphloom.operators.spread import spread
+from graphloom.plans.scratch import Scratch
 from tests import serial
 
 PATH = [(i, i + 1) for i in range(9)]
@@ -215,6 +218,37 @@ def test_node2vec_bias(make):
     assert back == pytest.approx(0.25 / 1.25, abs=0.03)
 
 
+def test_node2vec_second_order(make):
+    """From 0 over 1: back with 1/p, to 2 (next to 0) with 1, on to 3 with 1/q; weights multiply."""
+    edges = [(0, 1, 1.0), (1, 2, 2.0), (0, 2, 1e-9), (1, 3, 1.0)]
+    found = [r["path"] for r in walks.node2vec(make(edges, False), p=4.0, q=0.5, steps=3, epochs=6000, weighted=True, seed=5, start_rate=0.9).where("walk = 0").collect()]
+    assert 5000 < len(found) < 5800
+    third = [f[2] for f in found if f[1] == 1]
+    total = 0.25 + 2 + 2
+    for v, w in ((0, 0.25), (2, 2.0), (3, 2.0)):
+        assert third.count(v) / len(third) == pytest.approx(w / total, abs=0.03)
+
+
+def test_draws_follow_weights(spark):
+    """Over several levels of a tree."""
+    scratch = Scratch(spark, "draws")
+    weights = [(d % 7 + 1.0) for d in range(90)]
+    arcs = spark.createDataFrame([(0, 0, d, w) for d, w in enumerate(weights)] + [(1, 0, 5, 1.0)], "src long, kind int, dst long, w double")
+    sampler = walks.Sampler(arcs, scratch, fan=4)
+    assert len(sampler.levels) >= 3
+    walkers = spark.range(60_000).select("id", F.lit(0).cast("long").alias("cur"), F.lit(0).alias("kind"))
+    drawn = {r["dst"]: r["count"] for r in sampler.draw(walkers, F.col("id"), seed=2).groupBy("dst").count().collect()}
+    assert all(drawn[d] / 60_000 == pytest.approx(w / sum(weights), rel=0.25) for d, w in enumerate(weights)) and sum(drawn.values()) == 60_000
+
+
+def test_walks_over_a_hub_take_linear_rows(spark):
+    """20,000 walkers meet at a star's centre; pairs of walkers and leaves would be 400 million."""
+    star = Graph(spark.range(1, 20_001).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst")), False)
+    found = walks.node2vec(star, steps=4)
+    assert found.count() == 20_001 and found.where(F.size("path") != 4).isEmpty()
+    assert found.where("walk > 0").select(F.get("path", F.lit(2))).distinct().count() > 10_000
+
+
 def test_metapath(spark, make):
     edges = [(0, 1), (1, 2), (2, 3), (1, 4)]
     types = spark.createDataFrame([(0, 0), (1, 1), (2, 0), (3, 1), (4, 2)], "vid long, type int")
