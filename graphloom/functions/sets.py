@@ -31,6 +31,7 @@ def total(state: DataFrame, value: Column, active: DataFrame | None = None) -> D
 
 
 def fill(vertices: DataFrame, value: object, column: str = "value") -> DataFrame:
+    """(vid, value): every vertex with the same value."""
     return vertices.select("vid").withColumn(column, F.lit(value))
 
 
@@ -41,6 +42,16 @@ def upsert(state: DataFrame, new: DataFrame, how: str = "last", column: str = "v
     return both.groupBy("vid").agg(reduce.alias(column))
 
 
+def update_if(state: DataFrame, new: DataFrame, better: Column, column: str = "value") -> DataFrame:
+    """(vid, value): a known key takes the new value where ``better`` holds, an expression over ``old`` and ``new`` (compare and swap).
+
+    Keys that the state lacks are ignored; of several new values of a key the least is tried.
+    """
+    tried = new.groupBy("vid").agg(F.min(column).alias("new"))
+    both = state.select("vid", F.col(column).alias("old")).join(tried, "vid", "left")
+    return both.select("vid", F.when(F.col("new").isNotNull() & better, F.col("new")).otherwise(F.col("old")).alias(column))
+
+
 def insert_missing(state: DataFrame, new: DataFrame, column: str = "value") -> DataFrame:
     """The state and those new rows whose key it lacks (the least value of several)."""
     absent = new.join(state.select("vid"), "vid", "left_anti").groupBy("vid").agg(F.min(column).alias(column))

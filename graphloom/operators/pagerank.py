@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
-from graphloom.plans.iterate import rounds
+from graphloom.plans.iterate import released, rounds
 from graphloom.plans.scratch import Scratch
 
 
@@ -41,7 +41,7 @@ def pagerank(graph: Graph, iterations: int = 100, damping: float = 0.85, eps: fl
 
     ranks = graph.vertices().withColumn("rank", F.lit(1.0))
     if eps <= 0:
-        return rounds(ranks, advance, scratch, iterations).select("vid", "rank")
+        return released(rounds(ranks, advance, scratch, iterations).select("vid", "rank"), scratch, shares)
     held = None
     for n in range(iterations):
         ranks = scratch.save(advance(ranks))

@@ -127,7 +127,8 @@ def hop_attenuation(name: str, rounds: int, attenuation: float, tolerance: float
     for n in range(rounds):
         parts.append(
             f"s{n} AS (SELECT dst AS vid, label, sum(score) AS w, max(score) AS best FROM arcs JOIN l{n} ON src = vid WHERE score >= 0 GROUP BY dst, label), "
-            f"b{n} AS (SELECT vid, label, best, row_number() OVER (PARTITION BY vid ORDER BY round(w / {tolerance}) DESC, label) AS k FROM s{n}), "
+            f"t{n} AS (SELECT *, max(w) OVER (PARTITION BY vid) AS top FROM s{n}), "
+            f"b{n} AS (SELECT vid, label, best, row_number() OVER (PARTITION BY vid ORDER BY label) AS k FROM t{n} WHERE w >= top - {tolerance}), "
             f"l{n + 1} AS MATERIALIZED (SELECT o.vid, coalesce(b.label, o.label) AS label, "
             f"CASE WHEN b.label IS NULL THEN 0.0 ELSE b.best - CASE WHEN b.label <> o.label THEN {attenuation} ELSE 0 END END AS score "
             f"FROM l{n} o LEFT JOIN (SELECT * FROM b{n} WHERE k = 1) b USING (vid))"
@@ -135,26 +136,85 @@ def hop_attenuation(name: str, rounds: int, attenuation: float, tolerance: float
     return f"WITH {', '.join(parts)} SELECT vid, label, round(score, 6) AS score FROM l{rounds}"
 
 
-def _coreness(name: str, rounds: int) -> str:
-    parts = [_arcs(name), "c0 AS (SELECT dst AS vid, count(*) AS c FROM arcs GROUP BY dst)"]
-    for n in range(rounds):
-        parts.append(
-            f"c{n + 1} AS MATERIALIZED (SELECT dst AS vid, max(least(k, e)) AS c FROM (SELECT dst, least(a.c, b.c) AS e, row_number() OVER (PARTITION BY dst ORDER BY least(a.c, b.c) DESC) AS k "
-            f"FROM arcs JOIN c{n} a ON src = a.vid JOIN c{n} b ON dst = b.vid) GROUP BY dst)"
-        )
-    return ", ".join(parts) + f", core AS MATERIALIZED (SELECT vid, CAST(c AS BIGINT) AS coreness FROM c{rounds})"
+def _coreness(name: str) -> str:
+    """h-indices of the neighbours' estimates until nothing moves."""
+    return (
+        f"{_arcs(name)}, c AS (SELECT 0 AS n, dst AS vid, count(*) AS c, true AS moved FROM arcs GROUP BY dst UNION ALL "
+        "SELECT n + 1, vid, h, h < old FROM (SELECT n, vid, old, max(least(k, e)) AS h FROM ("
+        "SELECT a.n AS n, dst AS vid, b.c AS old, least(a.c, b.c) AS e, row_number() OVER (PARTITION BY dst ORDER BY least(a.c, b.c) DESC) AS k "
+        "FROM arcs JOIN c a ON src = a.vid JOIN c b ON dst = b.vid WHERE (SELECT bool_or(moved) FROM c)) GROUP BY n, vid, old)), "
+        "core AS MATERIALIZED (SELECT vid, CAST(c AS BIGINT) AS coreness FROM c WHERE n = (SELECT max(n) FROM c))"
+    )
+
+
+def coreness(name: str) -> str:
+    return f"WITH RECURSIVE {_coreness(name)} SELECT vid, coreness FROM core"
+
+
+def shell_sizes(name: str) -> str:
+    return f"WITH RECURSIVE {_coreness(name)} SELECT coreness, count(*) AS arcs FROM arcs JOIN core ON src = vid GROUP BY coreness"
+
+
+def core_edges(name: str, k: int) -> str:
+    return f"WITH RECURSIVE {_coreness(name)} SELECT src, dst FROM edges WHERE src IN (SELECT vid FROM core WHERE coreness >= {k}) AND dst IN (SELECT vid FROM core WHERE coreness >= {k})"
+
+
+def filled(name: str) -> str:
+    return f"WITH {_arcs(name)} SELECT vid, 7 AS value FROM verts"
+
+
+def updated(name: str) -> str:
+    return (
+        f"WITH {_arcs(name)}, new AS (SELECT dst AS vid, min(src) AS new FROM edges GROUP BY dst) "
+        "SELECT vid, CASE WHEN new * 4 < vid * 2 THEN new ELSE vid * 2 END AS value FROM verts LEFT JOIN new USING (vid) WHERE vid % 2 = 0"
+    )
+
 
+def spread_sums(name: str) -> str:
+    return f"WITH {_arcs(name)} SELECT vid % 10 AS key, CAST(sum(vid) AS BIGINT) AS total, count(*) AS n FROM verts WHERE vid % 3 <> 0 GROUP BY 1"
 
-def coreness(name: str, rounds: int) -> str:
-    return f"WITH {_coreness(name, rounds)} SELECT vid, coreness FROM core"
 
+def distinct_neighbours(name: str) -> str:
+    return f"WITH {_arcs(name)} SELECT src AS vid, count(DISTINCT dst) AS exact, true AS close FROM arcs GROUP BY src"
 
-def shell_sizes(name: str, rounds: int) -> str:
-    return f"WITH {_coreness(name, rounds)} SELECT coreness, count(*) AS arcs FROM arcs JOIN core ON src = vid GROUP BY coreness"
+
+def n_step_band(name: str, step: int) -> str:
+    return f"SELECT vid, in_degree, true AS close FROM ({n_step_degrees(name, step)})"
+
+
+def _cut(k: int) -> str:
+    return f"cut AS MATERIALIZED (SELECT src % {k} AS a, dst % {k} AS b, CAST(count(*) AS DOUBLE) AS w FROM arcs GROUP BY 1, 2)"
+
+
+def modularity(name: str, k: int) -> str:
+    return (
+        f"WITH {_arcs(name)}, {_cut(k)}, s AS (SELECT a, sum(w) AS k, sum(CASE WHEN a = b THEN w ELSE 0 END) AS inside FROM cut GROUP BY a), "
+        "t AS (SELECT sum(w) AS total FROM cut) SELECT round(sum(inside / total - (k / total) * (k / total)), 9) AS modularity FROM s, t"
+    )
+
+
+def code_length(name: str, k: int) -> str:
+    """The two-level map equation of undirected flow."""
+    plogp = "CASE WHEN {0} > 0 THEN {0} * log2({0}) ELSE 0 END".format
+    return (
+        f"WITH {_arcs(name)}, {_cut(k)}, t AS (SELECT sum(w) AS total FROM cut), m AS (SELECT a, sum(w / total) AS flow, sum(CASE WHEN a <> b THEN w / total ELSE 0 END) AS leave FROM cut, t GROUP BY a), "
+        f"v AS (SELECT src, count(*) / max(total) AS p FROM arcs, t GROUP BY src), x AS (SELECT sum(leave) AS q FROM m) "
+        f"SELECT round((SELECT {plogp('q')} FROM x) + (SELECT sum({plogp('(leave + flow)')} - 2 * ({plogp('leave')})) FROM m) - (SELECT sum({plogp('p')}) FROM v), 6) AS code_length"
+    )
+
+
+def placed(name: str, fact: str) -> str:
+    return f"WITH {_arcs(name)} SELECT count(*) AS vertices, true AS fewer, true AS {fact} FROM verts"
+
+
+def walk_facts(name: str, steps: int, starts: str = "") -> str:
+    return (
+        f"WITH {_arcs(name)} SELECT step, walks, CAST(0 AS BIGINT) AS no_arc, CAST(0 AS BIGINT) AS odd_type "
+        f"FROM range({steps}) AS t(step), (SELECT count(*) AS walks FROM verts {starts})"
+    )
 
 
-def core_edges(name: str, rounds: int, k: int) -> str:
-    return f"WITH {_coreness(name, rounds)} SELECT src, dst FROM edges WHERE src IN (SELECT vid FROM core WHERE coreness >= {k}) AND dst IN (SELECT vid FROM core WHERE coreness >= {k})"
+WEIGHTED_EDGES = "SELECT l_orderkey AS src, l_partkey AS dst, CAST(l_quantity AS BIGINT) AS weight FROM lineitem"
 
 
 MAJOR_ROOTS = "SELECT vid AS root FROM inside ORDER BY vid LIMIT 5"

@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOT: list[str] = []
+_RUNS: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -35,6 +36,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
+        _RUNS.append(self.root)
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and return the written table (lineage ends here)."""
@@ -53,6 +55,12 @@ class Scratch:
                 delete_path(self.spark, path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete all run folders that this process has made; for when results are written and no frame of them is read again."""
+    while _RUNS:
+        delete_path(spark, _RUNS.pop())
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Recursively delete through Hadoop's file system layer."""
     jvm = spark.sparkContext._jvm
