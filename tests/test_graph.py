@@ -143,6 +143,43 @@ def test_closeness_and_betweenness(spark, make):
     assert all(exact[v] == pytest.approx(whole[v], abs=1e-6) for v in major)
 
 
+def test_betweenness_of_the_chosen_component(make):
+    """Roots come from the component of the chosen vertex, and the stopping rule counts its dependencies."""
+    edges = [(i, i + 1) for i in range(20)] + [(50, 51), (51, 52), (52, 53)]
+    g, small = make(edges, False), [50, 51, 52, 53]
+    exact = serial.betweenness(serial.arcs_of(edges, False), small)
+    got = dict(tuple(r) for r in centrality.sampled_betweenness(g, chosen=51, constant=1e9).collect())
+    assert all(got[v] == pytest.approx(exact.get(v, 0) if v in small else 0) for v in {v for e in edges for v in e})
+    few = dict(tuple(r) for r in centrality.sampled_betweenness(g, chosen=51, constant=0.25, batch=1).collect())
+    assert few != got and sum(v > 0 for v in few.values()) <= 2
+    assert not any(dict(tuple(r) for r in centrality.sampled_betweenness(g, chosen=999).collect()).values())
+
+
+def test_ties_within_tolerance(make):
+    """A sum a hair under the greatest ties with it, wherever a grid of that width would cut."""
+    edges = [(1, 9, 1.0), (2, 9, 1.0 + 4e-7), (3, 8, 1.0), (4, 8, 1.0 + 3e-6)]
+    got = {r["vid"]: r["label"] for r in propagation.hop_attenuation(make(edges), 1, tolerance=1e-6).collect()}
+    assert got[9] == 1 and got[8] == 4
+    for base in (0.5e-6, 1.5e-6, 2.5e-6):
+        edge = [(1, 9, 1 + base - 1e-8), (2, 9, 1 + base + 1e-8)]
+        assert {r["vid"]: r["label"] for r in propagation.hop_attenuation(make(edge), 1).collect()}[9] == 1
+
+
+def test_unfinished_raises(make):
+    with pytest.raises(RuntimeError):
+        components.labels(make([(i, i + 1) for i in range(20)]), max_rounds=3)
+    assert components.labels(make([(0, 1)])).count() == 2
+
+
+def test_empty_graph_and_nulls(spark, make):
+    none = make([], False)
+    for out in (components.labels(none), kcore.coreness(none), pagerank.pagerank(none, 2), propagation.label_propagation(none, 2), propagation.hop_attenuation(none, 2), walks.node2vec(none, steps=3), mutual.mutual_neighbours(none), centrality.sampled_betweenness(none), centrality.sampled_closeness(none), communities.louvain(none), neighbourhood.n_step_degrees(none, 1)):
+        assert out.count() == 0
+    odd = Graph(spark.createDataFrame([(1, 2, "x", 5), (None, 2, "y", 5), (1, None, "z", 5), (1, 2, "x", 5)], "src long, dst long, vid string, label int"), False)
+    assert components.labels(odd).count() == 2 and odd.info().edges == 2
+    assert {r["coreness"] for r in kcore.coreness(odd).collect()} == {2}
+
+
 def test_average_distance_and_steps(make, rows_of):
     g = make(RING7, False)
     assert neighbourhood.exact_average_distance(g).first()[0] == pytest.approx(2.190476, abs=1e-6)
