@@ -28,10 +28,19 @@ def test_stages_take_messy_rows(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(DATA)).columns == docs.columns
         assert stage(spark, docs.limit(0), str(DATA)).count() == 0
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, docs, str(DATA)).count() == len(messy.ROWS) and last(spark, docs.limit(0), str(DATA)).count() == 0
     kept = corpus_pipeline.identified(spark, docs, str(DATA))
     assert not {3, 4, 5} & {r["doc_id"] for r in kept.collect()}
 
 
+def test_duplicates_keep_texts_of_repeated_ids(spark):
+    a, b = "one two three four five six seven", "quite another text that is not like the first one"
+    rows = [(3, a, "en", "s", 1), (5, a, "en", "s", 1), (5, b, "en", "s", 1), (5, b, "en", "s", 1), (None, a, "en", "s", 1), (None, "x y z", "en", "s", 1), (None, "X y z", "en", "s", 1)]
+    kept = sorted((r["doc_id"] or 0, r["text"].lower()) for r in corpus_pipeline.distinct(spark, messy.documents(spark, rows), "").collect())
+    assert kept == [(0, "x y z"), (3, a), (5, b)]
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, str(DATA))
     ids = [r["doc_id"] for r in out.collect()]
