@@ -47,6 +47,10 @@ class Scratch:
         out._scratch_path = path  # kept with the frame, so drop() can find it
         return out
 
+    def release(self) -> None:
+        """Have the driver forget finished plans, so that Spark's cleaner deletes their shuffle files now, not when memory runs low."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *frames: DataFrame | None) -> None:
         """Delete the files of tables returned by save()."""
         for df in frames:
