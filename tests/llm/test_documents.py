@@ -400,6 +400,8 @@ def test_toxicity_messy(spark):
     for marks in (messy.labels(spark), messy.labels(spark, True)):
         found = toxicity.score(docs, toxicity.fit(docs, marks)).select("__tox.*").collect()
         assert len(found) == len(messy.ROWS) and all(0 <= f["score"] <= 1 for f in found)
+    none = messy.documents(spark, [])
+    assert toxicity.score(none, toxicity.fit(none, messy.labels(spark))).count() == 0
 
 
 # op4
