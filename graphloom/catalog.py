@@ -94,27 +94,6 @@ def _cells(g: Graph, k: int = 16) -> DataFrame:
     return g.vertices().withColumn("community", F.col("vid") % k)
 
 
-def _partition_facts(found: DataFrame, g: Graph, resolution: float) -> DataFrame:
-    """One row: vertices placed, and whether the partition has fewer parts and more modularity than single vertices."""
-    alone = g.vertices().withColumn("community", F.col("vid"))
-    better = communities.modularity(g, found, resolution).first()[0] > communities.modularity(g, alone, resolution).first()[0]
-    return found.agg(F.count_distinct("vid").alias("vertices"), (F.count_distinct("community") < F.count("*")).alias("fewer")).withColumn("better", F.lit(better))
-
-
-def _louvain_facts(g: Graph) -> DataFrame:
-    return _partition_facts(communities.louvain(g), g, 2.0)
-
-
-def _density_facts(g: Graph) -> DataFrame:
-    return _partition_facts(communities.density_louvain(g), g, 1.0)
-
-
-def _infomap_facts(g: Graph) -> DataFrame:
-    found, alone = communities.infomap(g), g.vertices().withColumn("community", F.col("vid"))
-    shorter = communities.code_length(g, found) < communities.code_length(g, alone)
-    return found.agg(F.count_distinct("vid").alias("vertices"), (F.count_distinct("community") < F.count("*")).alias("fewer")).withColumn("shorter", F.lit(shorter))
-
-
 def _code_length(g: Graph) -> DataFrame:
     return g.edges.sparkSession.range(1).select(F.round(F.lit(communities.code_length(g, _cells(g))), 6).alias("code_length"))
 
@@ -219,10 +198,7 @@ def queries() -> dict[str, Query]:
         "m16_sketch_band": _on("g_pp", _sketch_band),
         "a14_sketch_band": _on("g_ps", _steps_band),
         "a16_modularity": _on("g_pp", lambda g: _rounded(communities.modularity(g, _cells(g)), "modularity", 9)),
-        "a16_louvain_facts": _on("g_pp", _louvain_facts),
-        "a17_density_facts": _on("g_pp", _density_facts),
         "a18_code_length": _on("g_ps", _code_length),
-        "a18_infomap_facts": _on("g_ps", _infomap_facts),
         "w1_walk_facts": _on("g_pp", lambda g: _walk_facts(walks.node2vec(g, steps=6), g.arcs())),
         "w2_walk_facts": _on("g_cs", lambda g: _walk_facts(walks.metapath(g, _types(g), [0, 1], epochs=1, steps=4), g.arcs(), 2)),
         "i3_edges_through_csv": _through_files(writers.write_csv, lambda spark, path: readers.load_edges(spark, path, "uint32").withColumn("weight", F.col("weight").cast("long")), _weighted_edges),
@@ -281,10 +257,7 @@ def oracle_sql() -> dict[str, str]:
         "m16_sketch_band": oracles.distinct_neighbours("g_pp"),
         "a14_sketch_band": oracles.n_step_band("g_ps", N_STEPS),
         "a16_modularity": oracles.modularity("g_pp", 16),
-        "a16_louvain_facts": oracles.placed("g_pp", "better"),
-        "a17_density_facts": oracles.placed("g_pp", "better"),
         "a18_code_length": oracles.code_length("g_ps", 16),
-        "a18_infomap_facts": oracles.placed("g_ps", "shorter"),
         "w1_walk_facts": oracles.walk_facts("g_pp", 6),
         "w2_walk_facts": oracles.walk_facts("g_cs", 4, "WHERE vid % 2 = 0"),
         "i3_edges_through_csv": oracles.WEIGHTED_EDGES,

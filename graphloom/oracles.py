@@ -203,10 +203,6 @@ def code_length(name: str, k: int) -> str:
     )
 
 
-def placed(name: str, fact: str) -> str:
-    return f"WITH {_arcs(name)} SELECT count(*) AS vertices, true AS fewer, true AS {fact} FROM verts"
-
-
 def walk_facts(name: str, steps: int, starts: str = "") -> str:
     return (
         f"WITH {_arcs(name)} SELECT step, walks, CAST(0 AS BIGINT) AS no_arc, CAST(0 AS BIGINT) AS odd_type "
