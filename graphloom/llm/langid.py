@@ -51,8 +51,8 @@ CALIBRATION_PARTS = 16
 
 _BITS = 21  # of a code point
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_BLOCK_CHARS = 1 << 18
-_KEPT_GRAMS = 1 << 19
+_BLOCK_CHARS = 1 << 17
+_KEPT_GRAMS = 1 << 18
 
 
 @cache
