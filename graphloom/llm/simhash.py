@@ -63,11 +63,25 @@ def fingerprint(text: str | None) -> int:
         part = words[at : at + _CHUNK + k - 1]
         runs = zip(*(part[i:] for i in range(k)), strict=False)
         h = np.fromiter((digest(b" ".join(r), HASH_SEED) for r in runs), dtype=np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += _ones(h)
+    return _majority(ones, n)
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes have each bit."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
     bits = (2 * ones > n).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
 
 
+def of_hashes(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash of shingles that are hashed already."""
+    return _majority(sum((_ones(hashes[at : at + _CHUNK]) for at in range(0, len(hashes), _CHUNK)), np.zeros(64, dtype=np.int64)), len(hashes))
+
+
 @F.pandas_udf(LongType())
 def _fingerprints(texts: pd.Series) -> pd.Series:
     return pd.Series([fingerprint(t) for t in texts], dtype="int64")
