@@ -1,14 +1,15 @@
-"""Main text of web pages: markup first, host suffix arrays for what markup leaves open.
+"""Main text of web pages: host suffix arrays over every page, then markup as the check of what they cut.
 
 A page is cut into blocks by a tolerant tag scanner.  Subtrees that are chrome by their
 element, role, class or id (menus, headers, footers, sidebars, notices, adverts, forms,
-comments, scripts, styles) go.  If an <article> (or else <main>, or else an element whose
+comments, scripts, styles) are never main text.  If an <article> (or else <main>, or else an element whose
 class or id names the content) holds text, its blocks are the main text as they are:
 passages and whole articles that several pages share are content there, so repetition must
 not remove them.
 
-Pages without such an element stay open.  Each distinct one is put, block after block, into
-the token stream of its host.  A suffix array sorted to RUN_TOKENS tokens by prefix doubling
+Pages without such an element stay open.  Each distinct page, settled or open, is put with all its
+blocks, chrome included, into the token stream of its host.  On settled pages markup then restores what
+the arrays cut of the content; on open ones the cuts hold, and what settled pages mark as menus is counted.  A suffix array sorted to RUN_TOKENS tokens by prefix doubling
 brings together the places whose next RUN_TOKENS tokens agree.  A longer repeated substring
 is made of such runs, each on as many pages, so deeper sorting would decide nothing.  Runs
 on at least MIN_PAGES and MIN_SHARE of the host's distinct pages are boilerplate.  Tokens
@@ -33,7 +34,7 @@ from html import unescape
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,7 +97,7 @@ def _is_content(attr: str) -> bool:
 
 
 def blocks_of(html: str | None) -> tuple[list[tuple[str, str]], set[str]]:
-    """Blocks of text that are no chrome, in page order, each with its zone (article, main, named or open); zones with text."""
+    """Blocks of text in page order, each with its zone (article, main, named, open or chrome); zones other than chrome with text."""
     out: list[tuple[str, str]] = []
     zones: set[str] = set()
     if not html:
@@ -105,8 +106,16 @@ def blocks_of(html: str | None) -> tuple[list[tuple[str, str]], set[str]]:
     opened: dict[str, int] = {}
     chrome = article = main = named = 0
     held: list[str] = []
+    aside: list[str] = []  # text of chrome
+
+    def flush_aside() -> None:
+        text = " ".join("".join(aside).split())
+        aside.clear()
+        if text:
+            out.append((text, "chrome"))
 
     def flush() -> None:
+        flush_aside()
         if held:
             text = " ".join("".join(held).split())
             held.clear()
@@ -127,8 +136,8 @@ def blocks_of(html: str | None) -> tuple[list[tuple[str, str]], set[str]]:
     while at < size:
         m = _TAG.search(html, at)
         start = m.start() if m else size
-        if start > at and not chrome:
-            held.append(unescape(html[at:start]))
+        if start > at:
+            (aside if chrome else held).append(unescape(html[at:start]))
         if not m:
             break
         at = m.end()
@@ -137,14 +146,13 @@ def blocks_of(html: str | None) -> tuple[list[tuple[str, str]], set[str]]:
             continue
         name = name.lower()
         if m["end"]:
-            if name in _BLOCK and not chrome:
-                flush()
+            if name in _BLOCK:
+                flush_aside() if chrome else flush()
             if opened.get(name):
                 close(name)
             continue
         if name in _BLOCK:
-            if not chrome:
-                flush()
+            flush_aside() if chrome else flush()
             if opened.get("p"):  # a paragraph ends where a block begins, unless a container stands between
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == "p":
@@ -152,8 +160,8 @@ def blocks_of(html: str | None) -> tuple[list[tuple[str, str]], set[str]]:
                         break
                     if stack[k][0] in _BLOCK:
                         break
-        elif name in ("br", "td", "th", "img", "option") and not chrome:
-            held.append(" ")
+        elif name in ("br", "td", "th", "img", "option"):
+            (aside if chrome else held).append(" ")
         if name in _VOID or m["attr"].endswith("/") and name not in _BLOCK:
             continue
         if name in _RAW:
@@ -163,6 +171,8 @@ def blocks_of(html: str | None) -> tuple[list[tuple[str, str]], set[str]]:
         stack.append((name, chrome, article, main, named))
         opened[name] = opened.get(name, 0) + 1
         if _is_chrome(name, m["attr"], bool(article or main)):
+            if not chrome:
+                flush_aside()
             chrome += 1
         elif not chrome:
             article += name == "article"
@@ -172,28 +182,32 @@ def blocks_of(html: str | None) -> tuple[list[tuple[str, str]], set[str]]:
     return out, zones
 
 
+def _content(zones: set[str]) -> str | None:
+    """The zone that markup names as the main text, if any."""
+    return next((z for z in ("article", "main", "named") if z in zones), None)
+
+
 def parse(html: str | None) -> tuple[str | None, list[str] | None]:
     """(main text, None) where markup settles it, else (None, open blocks)."""
     blocks, zones = blocks_of(html)
-    for zone in ("article", "main", "named"):
-        if zone in zones:
-            return "\n".join(t for t, z in blocks if z == zone), None
-    return ("", None) if not blocks else (None, [t for t, _ in blocks])
+    if zone := _content(zones):
+        return "\n".join(t for t, z in blocks if z == zone), None
+    return (None, [t for t, z in blocks if z != "chrome"]) if zones else ("", None)
 
 
-_PARSED = T.StructType([T.StructField("text", T.StringType()), T.StructField("blocks", T.ArrayType(T.StringType())), T.StructField("tokens", T.LongType())])
+#: What the check makes of a block: none of the text, all of it, or what the arrays left.
+DROP, WHOLE, LEFT = 0, 1, 2
+_PARSED = T.StructType([T.StructField("blocks", T.ArrayType(T.StringType())), T.StructField("take", T.ArrayType(T.IntegerType())), T.StructField("tokens", T.LongType())])
 
 
 @F.pandas_udf(_PARSED)
 def _parse(html: pd.Series) -> pd.DataFrame:
-    rows = [parse(h) for h in html]
-    return pd.DataFrame(
-        {
-            "text": pd.Series([t for t, _ in rows], dtype=object),
-            "blocks": pd.Series([b for _, b in rows], dtype=object),
-            "tokens": [sum(x.count(" ") + 2 for x in b) if b else 0 for _, b in rows],
-        }
-    )
+    rows, takes = [], []
+    for blocks, zones in map(blocks_of, html):
+        zone = _content(zones)
+        rows.append([t for t, _ in blocks])
+        takes.append([DROP if z == "chrome" or zone and z != zone else WHOLE if zone else LEFT for _, z in blocks])
+    return pd.DataFrame({"blocks": pd.Series(rows, dtype=object), "take": pd.Series(takes, dtype=object), "tokens": [sum(x.count(" ") + 2 for x in b) for b in rows]})
 
 
 def run_ranks(stream: np.ndarray, length: int) -> np.ndarray:
@@ -254,6 +268,10 @@ class Stream:
 
     def without(self, boilerplate: set[int]) -> list[str]:
         """Texts of the pages without the runs of these hashes."""
+        return ["\n".join(b for b in page if b) for page in self.left(boilerplate)]
+
+    def left(self, boilerplate: set[int]) -> list[list[str]]:
+        """What is left of every block of the pages without the runs of these hashes."""
         rank, first = np.unique(self.rank[self.begins], return_index=True)
         bad = np.array([self._hash(i) in boilerplate for i in self.begins[first].tolist()], dtype=bool)
         begin = self.begins[bad[np.searchsorted(rank, self.rank[self.begins])]] if len(rank) else self.begins
@@ -268,12 +286,10 @@ class Stream:
             kept = []
             for b in texts:
                 words = b.split(" ")
-                left = " ".join(w for w, g in zip(words, gone[at : at + len(words)].tolist(), strict=True) if not g)
+                kept.append(" ".join(w for w, g in zip(words, gone[at : at + len(words)].tolist(), strict=True) if not g))
                 at += len(words) + 1
-                if left:
-                    kept.append(left)
             at += self.run
-            out.append("\n".join(kept))
+            out.append(kept)
         return out
 
     def _covered(self, begin: np.ndarray) -> np.ndarray:
@@ -295,24 +311,31 @@ def _runs_of(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["host", "part", "run", "pages"])
 
 
-def _clean(part: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
-    if part.empty:
-        return pd.DataFrame({"host": [], "twin": [], "text": []})
-    part = part.sort_values("twin")
-    return pd.DataFrame({"host": part["host"], "twin": part["twin"], "text": _sorted(part).without(set(runs["run"].tolist()))})
+def _cuts(part: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+    """What the arrays leave of the blocks that they cut."""
+    found = []
+    if len(part) and len(runs):
+        part = part.sort_values("twin")
+        for host, twin, blocks, left in zip(part["host"], part["twin"], part["blocks"], _sorted(part).left(set(runs["run"].tolist())), strict=True):
+            if cut := [(k, b) for k, (a, b) in enumerate(zip(blocks, left, strict=True)) if a != b]:
+                found.append((host, twin, [k for k, _ in cut], [b for _, b in cut]))
+    return pd.DataFrame(found, columns=["host", "twin", "at", "left"])
 
 
 def without_boilerplate(left: DataFrame, scratch: Scratch, part_tokens: int = PART_TOKENS) -> DataFrame:
-    """(host, twin, text) of the distinct pages of (host, twin, blocks, tokens) rows; twin: a hash of the blocks."""
+    """(host, twin, at, left) of the distinct pages of (host, twin, blocks, tokens) rows that are cut: places of blocks and what is left of each; twin: a hash of the blocks."""
     distinct = scratch.save(left.dropDuplicates(["host", "twin"]))
     hosts = scratch.save(distinct.groupBy("host").agg(F.greatest(F.ceil(F.sum("tokens") / part_tokens), F.lit(1)).alias("parts"), F.count("*").alias("all_pages")))
     dealt = distinct.join(hosts.select("host", "parts"), "host").withColumn("part", F.pmod("twin", F.col("parts")))
     dealt = scratch.save(dealt.select("host", "part", "parts", "twin", "blocks"))
+    scratch.drop(distinct)
     runs = scratch.save(dealt.groupBy("host", "part").applyInPandas(_runs_of, "host string, part long, run long, pages long"))
     pages = runs.groupBy("host", "run").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= MIN_PAGES)
     bad = scratch.save(pages.join(hosts, "host").where(F.col("pages") >= MIN_SHARE * F.col("all_pages")).select("host", "run"))
     here = runs.join(bad, ["host", "run"]).select("host", "part", "run")
-    return scratch.save(dealt.groupBy("host", "part").cogroup(here.groupBy("host", "part")).applyInPandas(_clean, "host string, twin long, text string"))
+    cuts = scratch.save(dealt.groupBy("host", "part").cogroup(here.groupBy("host", "part")).applyInPandas(_cuts, "host string, twin long, at array<int>, left array<string>"))
+    scratch.drop(dealt, runs)
+    return cuts
 
 
 def extract(pages: DataFrame, part_tokens: int = PART_TOKENS) -> DataFrame:
@@ -321,10 +344,15 @@ def extract(pages: DataFrame, part_tokens: int = PART_TOKENS) -> DataFrame:
     small_batches(spark)
     scratch = Scratch(spark, "html")
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[^/?#]*//([^/?#]*)", 1)), F.lit(""))
-    parsed = scratch.save(pages.select("page_id", "url", _parse(F.col("html")).alias("p")).select("page_id", "url", host.alias("host"), "p.*"))
-    settled = parsed.where("blocks is null").select("page_id", "url", "text")
-    left = parsed.where("blocks is not null").drop("text").withColumn("twin", F.xxhash64("blocks"))
-    if not left.isEmpty():
-        cleaned = without_boilerplate(left.select("host", "twin", "blocks", "tokens"), scratch, part_tokens)
-        settled = settled.unionByName(left.join(cleaned.hint("merge"), ["host", "twin"]).select("page_id", "url", "text"))
-    return settled.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    parsed = pages.select("page_id", "url", _parse(F.col("html")).alias("p")).select("page_id", "url", host.alias("host"), "p.*")
+    parsed = scratch.save(parsed.withColumn("twin", F.xxhash64("blocks")))
+    cuts = without_boilerplate(parsed.select("host", "twin", "blocks", "tokens"), scratch, part_tokens)
+    cuts = cuts.select("host", "twin", F.map_from_arrays("at", "left").alias("cut"))
+
+    def taken(block: Column, k: Column) -> Column:
+        take = F.get("take", k)
+        return F.when(take == WHOLE, block).when(take == LEFT, F.coalesce(F.col("cut")[k], block)).otherwise("")
+
+    text = F.concat_ws("\n", F.filter(F.transform("blocks", taken), lambda t: t != ""))
+    found = parsed.join(cuts.hint("merge"), ["host", "twin"], "left").select("page_id", "url", text.alias("text"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

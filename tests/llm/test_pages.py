@@ -138,6 +138,15 @@ def test_extract_rows(spark):
     assert html_extract.extract(messy.pages(spark, [])).count() == 0
 
 
+def test_arrays_see_every_page(spark):
+    """What settled pages mark as a menu is cut from an open page of the host; what they name as content stays whole, also if it is repeated."""
+    menu, told = "Home About Us Now And Then Again Today", "a passage of ten words that all of these pages share"
+    rows = [(i, "https://h.example/x", f"<nav>{menu}</nav><article><p>{told} {i}</p></article>") for i in range(4)]
+    rows.append((4, "https://h.example/y", f"<div>{menu}</div><div>only here</div>"))
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(messy.pages(spark, rows)).collect()}
+    assert got == {i: f"{told} {i}" for i in range(4)} | {4: "only here"}
+
+
 URLS = [
     "https://WWW.Example.com/en/25#top", "http://a.example.com/en/x?y", "http://example.com/fr/", "http://b.net/es/1", "http://net/fr/", "http://b.net/espana", "http://x.org/",
     "http://notexample.com/en/", "http://example.com", "http://example.com?q=/en/", "no scheme", None, "://com/", "http://user@com:80/", "a://b.com/c://d.net/es/", "http://.com//en/",
