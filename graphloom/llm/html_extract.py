@@ -17,9 +17,12 @@ covered by a run within their own block go; a run that reaches over block ends (
 short blocks) only removes blocks that are covered as a whole, so it never eats into a
 block that goes on differently.  Unique runs stay.
 
-Streams are bounded: a host with more than PART_TOKENS tokens is dealt into parts by a hash of
-the page's blocks.  Each part has its own array; the pages of a run are added up over all parts
-of the host before anything is judged, so the result is that of one array over the whole host.
+Streams are bounded: a host with more than PART_CHARS characters of distinct html is dealt into parts
+by a hash of the page's blocks, each of about LEAST_PAGES pages at least.  Each part has its own array, and the
+result is that of one array over the whole host: a run on MIN_SHARE of a host's pages is on that share of
+some part's pages, so only runs that are go out of the parts as candidates, as their tokens; these are then
+counted in all parts of the host and judged by the whole.  Pages are moved once, to their parts; copies bring
+their ids only to the part's record, in further records of COPIES ids if they are many.
 
 Defined edge cases: null or empty html gives an empty text; a null url belongs to the host
 ``''``; repeated pages are repeated and count as one page; an empty table gives no rows;
@@ -29,12 +32,17 @@ columns other than page_id, url and html are ignored; unclosed elements end with
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from functools import partial
 from html import unescape
+from itertools import count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,7 +52,11 @@ from graphloom.plans.scratch import Scratch
 RUN_TOKENS = 8
 MIN_PAGES = 3
 MIN_SHARE = 0.1
-PART_TOKENS = 200_000
+PART_CHARS = 1_000_000
+LEAST_PAGES = 40
+COPIES = 1000
+#: Characters of text in a batch of results.
+OUT_CHARS = 4_000_000
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^<>]*+>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/<>]*+)(?P<attr>[^<>\"']*+(?:\"[^\"]*\"[^<>\"']*+|'[^']*'[^<>\"']*+)*+)>",
@@ -195,19 +207,36 @@ def parse(html: str | None) -> tuple[str | None, list[str] | None]:
     return (None, [t for t, z in blocks if z != "chrome"]) if zones else ("", None)
 
 
+#: The end of a block in the text of a run; no token has it.
+MARK = "\n"
 #: What the check makes of a block: none of the text, all of it, or what the arrays left.
 DROP, WHOLE, LEFT = 0, 1, 2
-_PARSED = T.StructType([T.StructField("blocks", T.ArrayType(T.StringType())), T.StructField("take", T.ArrayType(T.IntegerType())), T.StructField("tokens", T.LongType())])
+_PARSED = T.StructType([T.StructField("twin", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("page", T.BinaryType())])
 
 
 @F.pandas_udf(_PARSED)
 def _parse(html: pd.Series) -> pd.DataFrame:
-    rows, takes = [], []
+    """A hash of the blocks, and what is made of each (a digit) before the blocks, by lines, compressed."""
+    twins, pages = [], []
     for blocks, zones in map(blocks_of, html):
         zone = _content(zones)
-        rows.append([t for t, _ in blocks])
-        takes.append([DROP if z == "chrome" or zone and z != zone else WHOLE if zone else LEFT for _, z in blocks])
-    return pd.DataFrame({"blocks": pd.Series(rows, dtype=object), "take": pd.Series(takes, dtype=object), "tokens": [sum(x.count(" ") + 2 for x in b) for b in rows]})
+        take = "".join(str(DROP if z == "chrome" or zone and z != zone else WHOLE if zone else LEFT) for _, z in blocks)
+        text = "\n".join(t for t, _ in blocks)
+        twins.append(int(np.uint64(xxhash.xxh64_intdigest(utf8(text))).view(np.int64)))
+        pages.append(utf8(f"{take}\n{text}"))
+    packed = [pa.compress(x, codec="zstd", asbytes=True) for x in pages]
+    return pd.DataFrame({"twin": pd.Series(twins, dtype="int64"), "size": pd.Series([len(x) for x in pages], dtype="int32"), "page": pd.Series(packed, dtype=object)})
+
+
+def _blocks(page: str) -> list[str]:
+    return page.split("\n")[1:] if page[0] != "\n" else []
+
+
+def _text(page: str, left: list[str]) -> str:
+    """The main text of a page of whose blocks the arrays left this."""
+    take = page.split("\n", 1)[0]
+    found = (b if int(t) == WHOLE else x if int(t) == LEFT else "" for t, b, x in zip(take, _blocks(page), left, strict=True))
+    return "\n".join(x for x in found if x)
 
 
 def run_ranks(stream: np.ndarray, length: int) -> np.ndarray:
@@ -234,47 +263,71 @@ class Stream:
 
     def __init__(self, pages: list[list[str]], run: int = RUN_TOKENS):
         self.pages, self.run = pages, run
-        number: dict[str, int] = {}
+        number: dict[str, int] = defaultdict(count(1).__next__)
         stream: list[int] = []
-        page: list[int] = []
-        block: list[int] = []
-        blocks = 0
+        ends: list[int] = []  # of blocks, and of what stands behind a page
+        blocks: list[int] = []
+        sizes: list[int] = []
         for k, texts in enumerate(pages):
+            begin = len(stream)
             for b in texts:
-                stream.extend(number.setdefault(w, len(number) + 1) for w in b.split(" "))
+                stream.extend(map(number.__getitem__, b.split(" ")))
                 stream.append(0)
-                block.extend([blocks] * (len(stream) - len(block)))
-                blocks += 1
+                ends.append(len(stream))
+                blocks.append(len(blocks) - k)
             stream.extend([-1 - k] * run)
-            block.extend([-1] * run)
-            page.extend([k] * (len(stream) - len(page)))
-        self.tokens, self.page, self.block, self.blocks = (np.array(x, dtype=np.int64) for x in (stream, page, block, blocks))
-        self.words = ["\0", *number]
+            ends.append(len(stream))
+            blocks.append(-1)
+            sizes.append(len(stream) - begin)
+        self.number, self.words = number, [MARK, *number]
+        self.tokens = np.array(stream, dtype=np.int64)
+        self.page = np.repeat(np.arange(len(pages)), np.array(sizes, dtype=np.int64))
+        self.block = np.repeat(np.array(blocks, dtype=np.int64), np.diff(np.array(ends, dtype=np.int64), prepend=0))
+        self.blocks = len(blocks) - len(pages)
         self.rank = run_ranks(self.tokens, run)
         whole = np.append(self.tokens >= 0, np.zeros(run, dtype=bool))
         ok = np.cumsum(np.append(0, whole))
         self.begins = np.flatnonzero(ok[run:][: len(self.tokens)] - ok[: len(self.tokens)] == run)  # places of runs within a page
 
-    def counts(self) -> tuple[list[int], list[int]]:
-        """A hash of each distinct run, and the pages that have it."""
-        rank, first = np.unique(self.rank[self.begins], return_index=True)
-        pairs = np.unique(self.rank[self.begins] * max(1, len(self.pages)) + self.page[self.begins])
+    def counts(self, least: float = 1) -> tuple[list[str], list[int]]:
+        """The distinct runs on so many pages or more, as text, and the pages that have each."""
+        ranks = self.rank[self.begins]
+        rank, first = np.unique(ranks, return_index=True)
+        pairs = np.unique(ranks * max(1, len(self.pages)) + self.page[self.begins])
         pages = np.bincount(np.searchsorted(rank, pairs // max(1, len(self.pages))), minlength=len(rank))
-        return [self._hash(i) for i in self.begins[first].tolist()], pages.tolist()
-
-    def _hash(self, at: int) -> int:
-        words = " ".join(self.words[t] for t in self.tokens[at : at + self.run].tolist())
-        return int(np.uint64(xxhash.xxh64_intdigest(utf8(words))).view(np.int64))
+        often = np.flatnonzero(pages >= least)
+        return [self._run(i) for i in self.begins[first[often]].tolist()], pages[often].tolist()
+
+    def _run(self, at: int) -> str:
+        return " ".join(self.words[t] for t in self.tokens[at : at + self.run].tolist())
+
+    def _places(self, runs: Iterable[str]) -> np.ndarray:
+        """The places at which one of these runs begins."""
+        known = [[0 if w == MARK else self.number.get(w, -1) for w in r.split(" ")] for r in runs]
+        wanted = {tuple(k) for k in known if min(k) >= 0}
+        ranks = self.rank[self.begins]
+        rank, first = np.unique(ranks, return_index=True)
+        at, by_column = np.arange(len(rank)), np.array(sorted(wanted), dtype=np.int64).reshape(-1, self.run)
+        for j in range(self.run):
+            at = at[np.isin(self.tokens[self.begins[first[at]] + j], by_column[:, j])]
+        same = [i for i in at.tolist() if tuple(self.tokens[(p := self.begins[first[i]]) : p + self.run].tolist()) in wanted]
+        return self.begins[np.isin(ranks, rank[same])]
+
+    def counts_of(self, runs: Iterable[str]) -> tuple[list[str], list[int]]:
+        """Those of these runs that the pages have, and the pages that have each."""
+        places = self._places(runs)
+        rank, first = np.unique(self.rank[places], return_index=True)
+        pairs = np.unique(self.rank[places] * max(1, len(self.pages)) + self.page[places])
+        pages = np.bincount(np.searchsorted(rank, pairs // max(1, len(self.pages))), minlength=len(rank))
+        return [self._run(i) for i in places[first].tolist()], pages.tolist()
 
-    def without(self, boilerplate: set[int]) -> list[str]:
-        """Texts of the pages without the runs of these hashes."""
+    def without(self, boilerplate: set[str]) -> list[str]:
+        """Texts of the pages without these runs."""
         return ["\n".join(b for b in page if b) for page in self.left(boilerplate)]
 
-    def left(self, boilerplate: set[int]) -> list[list[str]]:
-        """What is left of every block of the pages without the runs of these hashes."""
-        rank, first = np.unique(self.rank[self.begins], return_index=True)
-        bad = np.array([self._hash(i) in boilerplate for i in self.begins[first].tolist()], dtype=bool)
-        begin = self.begins[bad[np.searchsorted(rank, self.rank[self.begins])]] if len(rank) else self.begins
+    def left(self, boilerplate: set[str]) -> list[list[str]]:
+        """What is left of every block of the pages without these runs."""
+        begin = self._places(boilerplate)
         inside = begin[self.block[begin] == self.block[begin + self.run - 1]]
         inside = inside[self.tokens[inside + self.run - 1] > 0]  # not over the block's mark
         own, any_run = self._covered(inside), self._covered(begin)
@@ -299,60 +352,100 @@ class Stream:
         return np.cumsum(edge)[: len(self.tokens)] > 0
 
 
-def _sorted(part: pd.DataFrame) -> Stream:
-    return Stream([list(b) for b in part.sort_values("twin")["blocks"]])
-
-
-def _runs_of(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-    """Runs of a part and how many of its pages have each; of a host in one part only those that can be boilerplate."""
-    runs, pages = _sorted(part).counts()
-    least = MIN_PAGES if part["parts"].iloc[0] == 1 else 1
-    found = [(key[0], key[1], r, n) for r, n in zip(runs, pages, strict=True) if n >= least]
-    return pd.DataFrame(found, columns=["host", "part", "run", "pages"])
-
-
-def _cuts(part: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
-    """What the arrays leave of the blocks that they cut."""
-    found = []
-    if len(part) and len(runs):
-        part = part.sort_values("twin")
-        for host, twin, blocks, left in zip(part["host"], part["twin"], part["blocks"], _sorted(part).left(set(runs["run"].tolist())), strict=True):
-            if cut := [(k, b) for k, (a, b) in enumerate(zip(blocks, left, strict=True)) if a != b]:
-                found.append((host, twin, [k for k, _ in cut], [b for _, b in cut]))
-    return pd.DataFrame(found, columns=["host", "twin", "at", "left"])
-
-
-def without_boilerplate(left: DataFrame, scratch: Scratch, part_tokens: int = PART_TOKENS) -> DataFrame:
-    """(host, twin, at, left) of the distinct pages of (host, twin, blocks, tokens) rows that are cut: places of blocks and what is left of each; twin: a hash of the blocks."""
-    distinct = scratch.save(left.dropDuplicates(["host", "twin"]))
-    hosts = scratch.save(distinct.groupBy("host").agg(F.greatest(F.ceil(F.sum("tokens") / part_tokens), F.lit(1)).alias("parts"), F.count("*").alias("all_pages")))
-    dealt = distinct.join(hosts.select("host", "parts"), "host").withColumn("part", F.pmod("twin", F.col("parts")))
-    dealt = scratch.save(dealt.select("host", "part", "parts", "twin", "blocks"))
-    scratch.drop(distinct)
-    runs = scratch.save(dealt.groupBy("host", "part").applyInPandas(_runs_of, "host string, part long, run long, pages long"))
-    pages = runs.groupBy("host", "run").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= MIN_PAGES)
-    bad = scratch.save(pages.join(hosts, "host").where(F.col("pages") >= MIN_SHARE * F.col("all_pages")).select("host", "run"))
-    here = runs.join(bad, ["host", "run"]).select("host", "part", "run")
-    cuts = scratch.save(dealt.groupBy("host", "part").cogroup(here.groupBy("host", "part")).applyInPandas(_cuts, "host string, twin long, at array<int>, left array<string>"))
-    scratch.drop(dealt, runs)
-    return cuts
-
-
-def extract(pages: DataFrame, part_tokens: int = PART_TOKENS) -> DataFrame:
+#: A part's record: its pages, which of them are the first with their blocks, and the ids and urls of the rows, each with its page.
+_PACK = "host string, part long, n long, pages array<string>, fresh array<boolean>, at array<int>, urls array<string>, runs array<string>, counts array<long>"
+
+
+def _packs(batches: Iterator[pa.RecordBatch], copies: int) -> Iterator[pa.RecordBatch]:
+    """Records of the parts, each part's rows in one piece and the rows of a twin together."""
+    key, twin, last, pages, fresh, at, ids, urls = None, None, None, [], [], [], [], []
+    kind = None
+
+    def record(n: int, pages: list, fresh: list, at: list, ids: list, urls: list, found: tuple) -> pa.RecordBatch:
+        one = {"host": [key[0]], "part": [key[1]], "n": [n], "pages": [pages], "fresh": [fresh], "at": pa.array([at], pa.list_(pa.int32())), "urls": pa.array([urls], pa.list_(pa.string()))}
+        one |= {"runs": pa.array([found[0]], pa.list_(pa.string())), "counts": pa.array([found[1]], pa.list_(pa.int64())), "ids": pa.array([ids], pa.list_(kind))}
+        return pa.RecordBatch.from_pydict(one)
+
+    def part() -> pa.RecordBatch:
+        own = [_blocks(p) for p, f in zip(pages, fresh, strict=True) if f]
+        found = Stream(own).counts(max(1 if key[2] > 1 else MIN_PAGES, MIN_SHARE * len(own) * (1 - 1e-9)))
+        return record(len(own), pages, fresh, at, ids, urls, found)
+
+    for batch in batches:
+        kind = batch.schema.field("page_id").type
+        for host, p, parts, t, size, packed, page_id, url in zip(*(batch.column(c).to_pylist() for c in ("host", "part", "parts", "twin", "size", "page", "page_id", "url")), strict=True):
+            if (host, p, parts) != key:
+                if key:
+                    yield part()
+                key, twin, last, pages, fresh, at, ids, urls = (host, p, parts), None, None, [], [], [], [], []
+            if t != twin or packed != last:
+                pages.append(pa.decompress(packed, size, "zstd", asbytes=True).decode("utf-8", "surrogatepass"))
+                fresh.append(t != twin)
+                twin, last, begun = t, packed, len(ids)
+            at.append(len(pages) - 1)
+            ids.append(page_id)
+            urls.append(url)
+            if len(ids) - begun >= copies:
+                yield record(0, pages[-1:], [False], [0] * (len(ids) - begun), ids[begun:], urls[begun:], ([], []))
+                del at[begun:], ids[begun:], urls[begun:]
+    if key:
+        yield part()
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pages of a part that have each of the host's candidates."""
+    for batch in batches:
+        for host, pages, fresh, wanted in zip(*(batch.column(c).to_pylist() for c in ("host", "pages", "fresh", "wanted")), strict=True):
+            runs, on = Stream([_blocks(p) for p, f in zip(pages, fresh, strict=True) if f]).counts_of(wanted)
+            yield pa.RecordBatch.from_pydict({"host": pa.array([host] * len(runs), pa.string()), "run": pa.array(runs, pa.string()), "pages": pa.array(on, pa.int64())})
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a record, with what markup makes of the blocks that the arrays left."""
+    for batch in batches:
+        kind = batch.schema.field("ids").type.value_type
+        for pages, bad, at, ids, urls in zip(*(batch.column(c).to_pylist() for c in ("pages", "bad", "at", "ids", "urls")), strict=True):
+            blocks = [_blocks(p) for p in pages]
+            texts = [_text(p, x) for p, x in zip(pages, Stream(blocks).left(set(bad)) if bad else blocks, strict=True)]
+            begin = chars = 0
+            for end in range(1, len(ids) + 1):
+                chars += len(texts[at[end - 1]])
+                if end == len(ids) or chars > OUT_CHARS:
+                    yield pa.RecordBatch.from_pydict({"page_id": pa.array(ids[begin:end], kind), "url": pa.array(urls[begin:end], pa.string()), "text": pa.array([texts[k] for k in at[begin:end]], pa.string())})
+                    begin, chars = end, 0
+
+
+def boilerplate(packs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, bad) of hosts with boilerplate: its runs."""
+    own = packs.where("n > 0")
+    hosts = scratch.save(own.groupBy("host").agg(F.count("*").alias("parts"), F.sum("n").alias("all_pages")))
+    found = own.select("host", F.explode(F.arrays_zip("runs", "counts")).alias("r")).select("host", F.col("r.runs").alias("run"), F.col("r.counts").alias("pages"))
+    found = scratch.save(found.join(hosts, "host"))
+    wanted = scratch.save(found.where("parts > 1").groupBy("host").agg(F.collect_set("run").alias("wanted")))
+    counted = own.select("host", "pages", "fresh").join(wanted, "host").mapInArrow(_counted, "host string, run string, pages long")
+    counted = scratch.save(counted.groupBy("host", "run").agg(F.sum("pages").alias("pages"))).join(hosts, "host")
+    judged = found.where("parts = 1").select("host", "run", "pages", "all_pages").unionByName(counted.select("host", "run", "pages", "all_pages"))
+    bad = judged.where(F.col("pages") >= MIN_PAGES).where(F.col("pages") >= MIN_SHARE * F.col("all_pages"))
+    return scratch.save(bad.groupBy("host").agg(F.collect_list("run").alias("bad")))
+
+
+def extract(pages: DataFrame, part_chars: int = PART_CHARS, least_pages: int = LEAST_PAGES, copies: int = COPIES) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     spark = pages.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "html")
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[^/?#]*//([^/?#]*)", 1)), F.lit(""))
-    parsed = pages.select("page_id", "url", _parse(F.col("html")).alias("p")).select("page_id", "url", host.alias("host"), "p.*")
-    parsed = scratch.save(parsed.withColumn("twin", F.xxhash64("blocks")))
-    cuts = without_boilerplate(parsed.select("host", "twin", "blocks", "tokens"), scratch, part_tokens)
-    cuts = cuts.select("host", "twin", F.map_from_arrays("at", "left").alias("cut"))
-
-    def taken(block: Column, k: Column) -> Column:
-        take = F.get("take", k)
-        return F.when(take == WHOLE, block).when(take == LEFT, F.coalesce(F.col("cut")[k], block)).otherwise("")
-
-    text = F.concat_ws("\n", F.filter(F.transform("blocks", taken), lambda t: t != ""))
-    found = parsed.join(cuts.hint("merge"), ["host", "twin"], "left").select("page_id", "url", text.alias("text"))
+    own = pages.select("page_id", "url", "html", host.alias("host"))
+    # Only hosts of several parts are listed: at most one for each PART_CHARS of the input.
+    sizes = own.groupBy("host", F.xxhash64("html").alias("h")).agg(F.max(F.length("html")).alias("chars")).groupBy("host")
+    parts = F.least(F.ceil(F.sum("chars") / part_chars), F.floor(F.count("*") / least_pages))
+    hosts = scratch.save(sizes.agg(parts.alias("parts")).where("parts > 1"))
+    parsed = own.join(hosts, "host", "left").select("page_id", "url", "host", F.coalesce("parts", F.lit(1)).alias("parts"), _parse(F.col("html")).alias("p"))
+    dealt = parsed.select("host", F.pmod("p.twin", "parts").alias("part"), "parts", "p.*", "page_id", "url")
+    dealt = dealt.repartition("host", "part").sortWithinPartitions("host", "part", "twin", "page")
+    kind = pages.schema["page_id"].dataType.simpleString()
+    packs = scratch.save(dealt.mapInArrow(partial(_packs, copies=copies), f"{_PACK}, ids array<{kind}>"), compression="zstd")
+    scratch.release()
+    bad = boilerplate(packs, scratch)
+    found = packs.join(bad, "host", "left").select("pages", "bad", "at", "ids", "urls").mapInArrow(_rows, f"page_id {kind}, url string, text string")
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

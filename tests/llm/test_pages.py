@@ -119,6 +119,32 @@ def test_host_in_parts(spark, part_tokens):
     assert [got[i] for i in range(len(pages))] == want
 
 
+@pytest.mark.parametrize("least_pages", [90, 30, 1])
+def test_parts_send_candidates_only(spark, monkeypatch, least_pages):
+    """However a host is dealt, the texts are those of one array, and unique runs never leave their part."""
+    r = random.Random(7)
+    foot, rare = "All rights are reserved by the owner of this site", "a line that only few of the many pages have at all"
+    pages = [("a", [" ".join(f"w{r.randrange(9000)}" for _ in range(60)), *([rare] if i % 12 == 0 else []), foot]) for i in range(120)]
+    pages += [pages[3]] * 25
+    written = {}
+    save = html_extract.Scratch.save
+    monkeypatch.setattr(html_extract.Scratch, "save", lambda self, df, **kw: written.setdefault(tuple(df.columns), save(self, df, **kw)))
+    got = {x["page_id"]: x["text"] for x in html_extract.extract(open_table(spark, pages), 300, least_pages, 4).collect()}
+    assert [got[i] for i in range(len(pages))] == ["\n".join(b[:-1]) for _, b in pages]
+    packs = next(df for c, df in written.items() if "runs" in c).collect()
+    assert (len({p["part"] for p in packs}) > 1) == (least_pages < 90)
+    assert sum(p["n"] for p in packs) == 120 and max(len(p["ids"]) - len(p["pages"]) for p in packs) <= 4
+    if least_pages > 1:
+        assert sum(len(p["runs"]) for p in packs) < 2000 < 120 * 60
+
+
+def test_markup_of_equal_blocks(spark):
+    """Pages of the same blocks are one page to the arrays, each with its own markup."""
+    rows = [(1, "https://h/x", "<article><p>told</p></article><p>more</p>"), (2, "https://h/x", "<p>told</p><p>more</p>"), (2**60 + 1, "https://h/x", "<p>told</p><p>more</p>"), (None, None, "<p>told</p>")]
+    got = [tuple(r) for r in html_extract.extract(messy.pages(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(1, "https://h/x", "told", 4), (2, "https://h/x", "told\nmore", 9), (2**60 + 1, "https://h/x", "told\nmore", 9), (None, None, "told", 4)], key=str)
+
+
 def test_hostile_html():
     """Time grows with the page's length, not with its square."""
     import time
