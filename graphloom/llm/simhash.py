@@ -107,10 +107,7 @@ def postings(fps: DataFrame) -> DataFrame:
 
 def _rest(key: Column, fp: Column) -> Column:
     """The four bytes of a fingerprint that are not in its key."""
-    rest = F.lit(0).cast("long")
-    for n, b in enumerate(BLOCKS):
-        rest = F.when(F.shiftrightunsigned(key, 32) == n, _bytes_at(fp, [p for p in range(8) if p not in b])).otherwise(rest)
-    return rest
+    return F.get(F.array(*(_bytes_at(fp, [p for p in range(8) if p not in b]) for b in BLOCKS)), F.shiftrightunsigned(key, 32).cast("int"))
 
 
 def tally(listed: DataFrame) -> DataFrame:
@@ -127,11 +124,13 @@ def links(fps: DataFrame, scratch: Scratch, hot_list: int = HOT_LIST) -> DataFra
     few = scratch.save(listed.where(F.col("count") <= hot_list).select("key", "fp"))
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_BITS
     pairs = tally(few).where(F.col("blocks") >= MIN_BLOCKS).where(near).select("u", "v")
-    rest = _rest(F.col("key"), F.col("fp"))
-    around = F.array(rest, *(rest.bitwiseXOR(F.lit(1 << i)) for i in range(32)))
+    # The neighbours come from a small table of bits: 33 copies of this expression would fill the driver's memory with plans.
+    bits = F.explode(F.array(*(F.lit(b).cast("long") for b in (0, *(1 << i for i in range(32))))))
     stars = (
         listed.where(F.col("count") > hot_list)
-        .select("key", "fp", F.explode(around).alias("near"))
+        .select("key", "fp", _rest(F.col("key"), F.col("fp")).alias("rest"))
+        .select("key", "fp", "rest", bits.alias("bit"))
+        .select("key", "fp", F.col("rest").bitwiseXOR(F.col("bit")).alias("near"))
         .select("fp", F.min("fp").over(Window.partitionBy("key", "near")).alias("least"))
         .where("fp <> least")
         .select(F.col("least").alias("u"), F.col("fp").alias("v"))
