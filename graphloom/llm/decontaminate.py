@@ -52,6 +52,8 @@ _FOUND = T.StructType(
         T.StructField("items", T.ArrayType(T.StringType())),
     ]
 )
+#: And what is left of a text that has hits.
+_FOUND_REST = T.StructType([*_FOUND.fields, T.StructField("rest", T.StringType())])
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -201,24 +203,34 @@ def automata(items: Iterable[tuple[object, str | None]], window: int, block_word
         yield Automaton(block, window)
 
 
-def _scanner(shared: Broadcast):
-    """Column function that gives the hits of texts against one automaton."""
+def _scanner(shared: Broadcast, cutting: bool = False):
+    """Column function that gives the hits of texts against one automaton, if ``cutting`` with what they leave.
 
-    @F.pandas_udf(_FOUND)
+    It counts as nondeterministic, else filters on the hits would scan every text once more, in a Python worker of their own.
+    """
+    kind = _FOUND_REST if cutting else _FOUND
+
+    @F.pandas_udf(kind)
     def scan(texts: pd.Series) -> pd.DataFrame:
         found = []
         for t in texts:
             words = words_of(t)
             spans, hit = shared.value.find(words)
-            found.append((len(words), spans, sorted(hit)))
-        return pd.DataFrame(found, columns=["n_words", "spans", "items"])
+            found.append((len(words), spans, sorted(hit), cut(t, spans) if spans and cutting else None)[: len(kind)])
+        return pd.DataFrame(found, columns=kind.names, dtype=object)
+
+    return scan.asNondeterministic()
+
 
-    return scan
+@F.pandas_udf(T.StructType([T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("rest", T.StringType())]))
+def _united(spans: pd.Series, texts: pd.Series) -> pd.DataFrame:
+    """The union of the spans, and what it leaves of a text that has any."""
+    whole = [_merged([[int(a), int(b)] for a, b in v]) for v in spans]
+    rest = [cut(t, v) if v and t else None for v, t in zip(whole, texts, strict=True)]
+    return pd.DataFrame({"spans": pd.Series(whole, dtype=object), "rest": pd.Series(rest, dtype=object)})
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.LongType())))
-def _union_of_spans(spans: pd.Series) -> pd.Series:
-    return pd.Series([_merged([[int(a), int(b)] for a, b in v]) for v in spans], dtype=object)
+_united = _united.asNondeterministic()
 
 
 def _merged(spans: list[list[int]]) -> list[list[int]]:
@@ -231,33 +243,39 @@ def _merged(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The documents with a column __found: n_words, spans (ranges of hit words) and items (sorted ids)."""
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, cutting: bool = False) -> DataFrame:
+    """The documents with a column __found: n_words, spans (ranges of hit words) and items (sorted ids), if ``cutting`` with rest.
+
+    ``rest`` is the text without the spans, and null where there are none.
+    """
     spark, row = docs.sparkSession, "__decontaminate_row"
     small_batches(spark)
     items = ((r[0], r[1]) for r in benchmark.select("item_id", "text").toLocalIterator())
     text, none = F.col("text"), F.array()
     first = numbered = more = None
     for automaton in automata(items, window, block_words):
-        scan = _scanner(spark.sparkContext.broadcast(automaton))
+        shared = spark.sparkContext.broadcast(automaton)
         if first is None:
-            first = scan
+            first = shared
             continue
         if numbered is None:
             scratch = Scratch(spark, "decontaminate")
             numbered = scratch.save(docs.withColumn(row, F.monotonically_increasing_id()))
-        hits = numbered.select(row, scan(text).alias("f")).where("size(f.spans) > 0").select(row, "f.spans", "f.items")
+        hits = numbered.select(row, _scanner(shared)(text).alias("f")).where("size(f.spans) > 0").select(row, "f.spans", "f.items")
         hits = scratch.save(hits)
         more = hits if more is None else more.unionByName(hits)
     if more is None:
-        return docs.withColumn("__found", first(text))
+        return docs.withColumn("__found", _scanner(first, cutting)(text))
     folded = more.groupBy(row).agg(F.flatten(F.collect_list("spans")).alias("__spans"), F.flatten(F.collect_list("items")).alias("__items"))
     both = F.struct(
         F.col("__found.n_words").alias("n_words"),
-        _union_of_spans(F.concat("__found.spans", F.coalesce("__spans", none.cast("array<array<bigint>>")))).alias("spans"),
+        F.col("__united.spans").alias("spans"),
         F.array_sort(F.array_union("__found.items", F.coalesce("__items", none.cast("array<string>")))).alias("items"),
+        *([F.col("__united.rest").alias("rest")] if cutting else []),
     )
-    out = numbered.withColumn("__found", first(text)).join(folded, row, "left")
+    out = numbered.withColumn("__found", _scanner(first)(text)).join(folded, row, "left")
+    spans = F.concat("__found.spans", F.coalesce("__spans", none.cast("array<array<bigint>>")))
+    out = out.withColumn("__united", _united(spans, text if cutting else F.lit(None).cast("string")))
     return out.withColumn("__found", both).select(*docs.columns, "__found")
 
 
@@ -291,22 +309,16 @@ def cut(text: str | None, spans: Iterable[Iterable[int]]) -> str:
     return " ".join(p for p in pieces if p)
 
 
-@F.pandas_udf(T.StringType())
-def _cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    return pd.Series([cut(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents without the spans of benchmark words.
 
     Documents without a hit pass unchanged; a document of which more than ``max_coverage`` of the
     words are hit goes entirely.  ``n_chars`` follows the text where the table has it.
     """
     found = F.col("__found")
-    marked = matches(docs, benchmark, window).where(hit_words(found) <= max_coverage * found.n_words)
+    marked = matches(docs, benchmark, window, block_words, cutting=True).where(hit_words(found) <= max_coverage * found.n_words)
     dirty = F.size(found.spans) > 0
-    text = F.when(dirty, _cut(F.when(dirty, F.col("text")), F.when(dirty, found.spans).otherwise(F.array().cast("array<array<bigint>>")))).otherwise(F.col("text"))
-    out = marked.withColumn("__text", text)
+    out = marked.withColumn("__text", F.when(dirty, found.getField("rest")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
         out = out.withColumn("n_chars", F.when(dirty, F.length("__text").cast(kind)).otherwise(F.col("n_chars")))

@@ -27,9 +27,11 @@ from itertools import accumulate, pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from graphloom.llm.common import crc_bucket, small_batches
 from graphloom.llm.sampling import bounded_sample
@@ -306,7 +308,10 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int =
     size = F.sum(F.octet_length("text")).alias("size")
     found = docs.select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id", "toxic").agg(size).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     kept = [(r["doc_id"], c) for c in (0, 1) for r in _within([r for r in found if r["toxic"] == c], sample_bytes // 2)]
-    few = F.broadcast(docs.sparkSession.createDataFrame(kept, known.schema))
+    # By Arrow, as a list of rows would start another set of Python workers on every executor.
+    columns = to_arrow_schema(known.schema)
+    listed = pa.Table.from_pylist([dict(zip(columns.names, k, strict=True)) for k in kept], schema=columns)
+    few = F.broadcast(docs.sparkSession.createDataFrame(listed, known.schema))
     rows = docs.select("doc_id", "text").join(few, "doc_id").orderBy("doc_id", "text").collect()
     return train([r["text"] for r in rows if r["toxic"] == 1], [r["text"] for r in rows if r["toxic"] == 0])
 

@@ -678,3 +678,21 @@ def test_decontamination_cuts(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.decontaminate(docs, none).count() == 4
     assert decontaminate.report(messy.documents(spark, []), bench).count() == 0
+
+
+@pytest.mark.parametrize("block_words", [10_000, 4])
+def test_decontamination_cuts_in_blocks(spark, block_words):
+    r = random.Random(10)
+    rows = [(i, " ".join(r.choices(["a b c d a", "d a b z", "x Y z x y", "a", "z", *"efghijklmnop"], k=r.choice([0, 1, 5, 40]))), "en", "a", 1) for i in range(60)] + [(None, None, "en", "a", None)]
+    items = [i for i in ITEMS if i[0] != 5]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    a = decontaminate.Automaton([(str(i), decontaminate.words_of(t)) for i, t in items], 4)
+    want = Counter()
+    for doc_id, text, *_, n_chars in rows:
+        spans, _ = a.find(words := decontaminate.words_of(text))
+        if sum(e - b for b, e in spans) <= 0.5 * len(words):
+            rest = decontaminate.cut(text, spans) if spans else text
+            want[(doc_id, rest, len(rest) if spans else n_chars)] += 1
+    out = decontaminate.decontaminate(messy.documents(spark, rows), bench, 4, block_words=block_words)
+    assert Counter(tuple(g) for g in out.select("doc_id", "text", "n_chars").collect()) == want
+    assert any(text not in [x[1] for x in rows] for _, text, _ in want)

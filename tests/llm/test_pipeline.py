@@ -1,12 +1,15 @@
 """The pipeline's stages, and the registered queries that SQL can express."""
 
+import re
 from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark import SparkContext
 
 import corpus_pipeline
 from graphloom.llm import queries
+from graphloom.plans.scratch import Scratch
 from tests.llm import messy
 
 DATA = Path("/root/testdata/sf0.001")
@@ -23,6 +26,24 @@ def test_stages_keep_their_columns(spark):
         assert len(set(ids)) == len(ids) and 0.5 * len(seen) < len(ids) and set(ids) <= seen
 
 
+def test_stages_start_one_python_worker_a_task(spark, monkeypatch):
+    """No plan evaluates Python twice and none reads a list of rows: either starts further workers, which stay on the executor."""
+    docs, many, save = spark.read.parquet(f"{DATA}/documents.parquet"), [], Scratch.save
+
+    def noted(df):
+        many.append(len(re.findall(r"EvalPython \[|MapInPandas |MapInArrow ", df._jdf.queryExecution().executedPlan().toString())))
+        return df
+
+    def listed(*_):
+        raise AssertionError("a list of rows")
+
+    monkeypatch.setattr(Scratch, "save", lambda self, df, **options: save(self, noted(df), **options))
+    monkeypatch.setattr(SparkContext, "parallelize", listed)
+    for name, stage in corpus_pipeline.STAGES:
+        noted(stage(spark, docs, str(DATA)))
+        assert max(many) == 1, name
+
+
 def test_stages_take_messy_rows(spark):
     docs = messy.documents(spark)
     for _, stage in corpus_pipeline.STAGES[:-1]:
