@@ -11,11 +11,11 @@ def union(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def intersection(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.select("vid").distinct().join(b.select("vid"), "vid", "left_semi")
+    return a.select("vid").distinct().join(b.select("vid").distinct(), "vid", "left_semi")
 
 
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.select("vid").distinct().join(b.select("vid"), "vid", "left_anti")
+    return a.select("vid").distinct().join(b.select("vid").distinct(), "vid", "left_anti")
 
 
 def size_and_last(a: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def size_and_last(a: DataFrame) -> DataFrame:
 def total(state: DataFrame, value: Column, active: DataFrame | None = None) -> DataFrame:
     """One row: the sum of a value over the (active) vertices, 0 if there are none."""
     if active is not None:
-        state = state.join(active.select("vid"), "vid", "left_semi")
+        state = state.join(active.select("vid").distinct(), "vid", "left_semi")
     return state.agg(F.coalesce(F.sum(value), F.lit(0)).alias("total"))
 
 
