@@ -1,7 +1,9 @@
 """What keeps a task's share and the rows moved in proportion to the tables."""
 
 from graphloom.functions import sets
+from graphloom.operators import kcore
 from graphloom.plans import parts
+from tests import serial
 
 
 def test_exchanges_have_parts_for_the_tables(spark, monkeypatch, tmp_path):
@@ -25,3 +27,12 @@ def test_repeated_members_are_folded_before_they_move(spark):
     for found, n in ((sets.intersection(spark.range(5).toDF("vid"), many), 5), (sets.difference(spark.range(12).toDF("vid"), many), 2)):
         assert found.count() == n
         assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") >= 2
+
+
+def test_coreness_by_all_vertices_or_by_those_that_fall(make, rows_of, monkeypatch):
+    chain = [(i, i + 1) for i in range(20)] + [(20, 30), (30, 31), (30, 32), (31, 32), (20, 31), (20, 32), (3, 3), (1, 2)]
+    for directed in (False, True):
+        want = serial.coreness(serial.arcs_of(chain, directed))
+        for many in (0, 4, 10**9):
+            monkeypatch.setattr(kcore, "MANY", many)
+            assert dict(rows_of(kcore.coreness(make(chain, directed)))) == want
