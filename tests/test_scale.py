@@ -1,7 +1,12 @@
 """What keeps a task's share and the rows moved in proportion to the tables."""
 
+import random
+
+from pyspark.sql import functions as F
+
 from graphloom.functions import sets
-from graphloom.operators import kcore
+from graphloom.operators import kcore, neighbourhood, reach
+from graphloom.operators.traversal import hops
 from graphloom.plans import parts
 from tests import serial
 
@@ -36,3 +41,17 @@ def test_coreness_by_all_vertices_or_by_those_that_fall(make, rows_of, monkeypat
         for many in (0, 4, 10**9):
             monkeypatch.setattr(kcore, "MANY", many)
             assert dict(rows_of(kcore.coreness(make(chain, directed)))) == want
+
+
+def test_pairs_are_counted_by_bits(make, rows_of, monkeypatch):
+    r = random.Random(3)
+    edges = sorted({(r.randrange(90), r.randrange(90)) for _ in range(140)}) + [(200, 201), (300, 300)]
+    for small, work in ((4096, 10**8), (4, 1)):  # one unit of all components, and the largest shared out
+        monkeypatch.setattr(reach, "SMALL", small)
+        monkeypatch.setattr(reach, "SHARE_WORK", work)
+        for directed in (False, True):
+            g = make(edges, directed)
+            far = hops(g, g.vertices().withColumnRenamed("vid", "root"))
+            want = rows_of(far.groupBy("vid", "dist").count())
+            assert rows_of(reach.reach_counts(g).groupBy("vid", "level").agg(F.sum("n"))) == want
+    assert neighbourhood.exact_average_distance(make([])).first()[0] == 0.0
