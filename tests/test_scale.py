@@ -1,11 +1,12 @@
 """What keeps a task's share and the rows moved in proportion to the tables."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from graphloom.functions import sets
-from graphloom.operators import kcore, neighbourhood, reach
+from graphloom.operators import kcore, neighbourhood, propagation, reach
 from graphloom.operators.traversal import hops
 from graphloom.plans import parts
 from tests import serial
@@ -55,3 +56,11 @@ def test_pairs_are_counted_by_bits(make, rows_of, monkeypatch):
             want = rows_of(far.groupBy("vid", "dist").count())
             assert rows_of(reach.reach_counts(g).groupBy("vid", "level").agg(F.sum("n"))) == want
     assert neighbourhood.exact_average_distance(make([])).first()[0] == 0.0
+
+
+def test_messages_of_a_round_are_dealt_once(make, monkeypatch):
+    monkeypatch.setattr(propagation, "released", lambda state, *_: state)
+    for out in (propagation.hop_attenuation(make([(0, 1), (1, 2)], False), 1), propagation.label_propagation(make([(0, 1), (1, 2)], False), 1)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning(vid" in plan
+        assert not re.search(r"Exchange hashpartitioning\(vid#\d+L?, label", plan)
