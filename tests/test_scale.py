@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from graphloom.functions import sets
-from graphloom.operators import kcore, neighbourhood, propagation, reach
+from graphloom.operators import kcore, mutual, neighbourhood, propagation, reach
 from graphloom.operators.traversal import hops
 from graphloom.plans import parts
 from tests import serial
@@ -64,3 +64,13 @@ def test_messages_of_a_round_are_dealt_once(make, monkeypatch):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "Exchange hashpartitioning(vid" in plan
         assert not re.search(r"Exchange hashpartitioning\(vid#\d+L?, label", plan)
+
+
+def test_triangles_by_cells_of_colours(make, rows_of, monkeypatch):
+    r = random.Random(8)
+    edges = sorted({tuple(sorted(r.sample(range(40), 2))) for _ in range(260)}) + [(50, 50), (3, 2)]
+    near = {v: {b if a == v else a for a, b in edges if v in (a, b)} - {v} for v in range(51)}
+    want = sorted({(min(e), max(e), len(near[e[0]] & near[e[1]])) for e in edges if e[0] != e[1]})
+    for least in (20_000, 100, 10):  # one, two and four colours
+        monkeypatch.setattr(mutual, "SMALL_EDGES", least)
+        assert rows_of(mutual.mutual_neighbours(make(edges, False))) == want
