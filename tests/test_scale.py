@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from graphloom.functions import sets
-from graphloom.operators import kcore, mutual, neighbourhood, propagation, reach
+from graphloom.operators import kcore, mutual, neighbourhood, propagation, reach, spread
 from graphloom.operators.traversal import hops
 from graphloom.plans import parts
 from tests import serial
@@ -74,3 +74,15 @@ def test_triangles_by_cells_of_colours(make, rows_of, monkeypatch):
     for least in (20_000, 100, 10):  # one, two and four colours
         monkeypatch.setattr(mutual, "SMALL_EDGES", least)
         assert rows_of(mutual.mutual_neighbours(make(edges, False))) == want
+
+
+def test_behaviours_go_along_arcs_as_lists(spark, rows_of, monkeypatch):
+    relations = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (2, 9), (None, 1)], "src long, dst long")
+    did = spark.createDataFrame([(3, 7, 1), (3, 7, 4), (3, 8, None), (3, 6, 2), (2, 7, 5), (1, None, 3)], "vid long, behaviour_id long, q int")
+    monkeypatch.setattr(spread, "LIST_ROWS", 1)
+    out = spread.spread(relations, did, ["q"], friends=True)
+    assert out.columns == ["src", "behaviour_id", "n", "sum_q", "friends"] and dict(out.dtypes)["sum_q"] == "bigint"
+    got = {(r.src, r.behaviour_id): (r.n, r.sum_q, r.friends) for r in out.collect()}
+    around1 = {(1, 7): (3, 10, "2:3"), (1, 8): (1, None, "3"), (1, 6): (1, 2, "3")}
+    around2 = {(2, 7): (2, 5, "3"), (2, 8): (1, None, "3"), (2, 6): (1, 2, "3"), (2, None): (1, 3, "1")}
+    assert got == around1 | around2 | {(3, 7): (1, 5, "2"), (3, None): (1, 3, "1"), (9, 7): (1, 5, "2")}
